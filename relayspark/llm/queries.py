@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayspark.llm import minhash, packing, sharding, token_files
+from relayspark.llm import decontaminate, minhash, packing, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, "doc_id", SHARD_NAMES).select("doc_id", "slot", "shard")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return pieces.select(
@@ -47,6 +53,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_decontamination": op2_decontamination,
     "op5_packing": op5_packing,
     "op7_token_files": op7_token_files,
     "op9_minhash": op9_minhash,
@@ -63,4 +70,26 @@ def oracles() -> dict[str, str]:
                 FROM documents)
             SELECT doc_id, slot, owner[slot + 1]::BIGINT AS shard FROM placed, owners
         """,
+        "op2_decontamination": r"""
+            WITH doc AS (
+                SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+            item AS (
+                SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+            bounds AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0)::BIGINT + 2)) AS i FROM item WHERE len(w) > 0),
+            windows AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 9), ' ') AS win, len(list_slice(w, i, i + 9)) AS n FROM bounds),
+            sizes AS (SELECT DISTINCT n FROM windows),
+            spots AS (SELECT doc_id, w, n, unnest(range(1, len(w)::BIGINT - n + 2)) AS i FROM doc, sizes WHERE len(w) >= n),
+            hit AS (
+                SELECT doc_id, i, s.n, item_id
+                FROM (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM spots) s
+                JOIN windows USING (win)),
+            places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+            named AS (
+                SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+                FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+            SELECT doc.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+                coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+                coalesce(n_hit, 0) > 0 AS contaminated
+            FROM doc LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
+        """,
     }
