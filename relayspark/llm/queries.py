@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayspark.llm import decontaminate, minhash, packing, sharding, token_files
+from relayspark.llm import decontaminate, minhash, packing, quality, secret_scan, sharding, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = token_files.write_files(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     back = token_files.read_files(folder, manifest)
@@ -51,12 +57,28 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda rank: F.size(F.filter("found", lambda s: s["rank"] == rank)).cast("long")
+    base = F.filter("found", lambda s: s["rank"] < 3)
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("found")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op5_packing": op5_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op7_token_files": op7_token_files,
     "op9_minhash": op9_minhash,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 
