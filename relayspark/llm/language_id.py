@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relayspark.llm.common import python_ready
 
@@ -31,7 +32,7 @@ MOST_LANGUAGES = 200
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: A text that no language claims by this score is rejected by ``accepted``.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 #: Characters of text whose n-grams are found at once; a longer text is read on its own.
 CHUNK_CHARS = 1 << 20
 _BITS = 20
@@ -183,7 +184,7 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     python_ready(docs.sparkSession)
     rows = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
-    schema = rows.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_predict(model), schema)
 
 
