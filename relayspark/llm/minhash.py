@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relayspark.llm.common import python_ready, small_side, written
@@ -92,7 +92,7 @@ def _digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-SIGNED = "doc_id long, n_shingles long, class binary, bands array<long>"
+SIGNED = "doc_id long, row_key binary, n_shingles long, class binary, bands array<long>"
 
 
 def _sign(width: int, bands: int, rows: int):
@@ -108,11 +108,12 @@ def _sign(width: int, bands: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("row_key"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "class", "bands"],
+                ["doc_id", "row_key", "n_shingles", "class", "bands"],
             )
 
     return run
@@ -208,10 +209,19 @@ def _cells(rows: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def row_key(text: Column) -> Column:
+    """A digest that tells rows of one ``doc_id`` apart by their text; null for null."""
+    return F.unhex(F.md5(text.cast("string").cast("binary")))
+
+
 def signed(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Set size, class and band keys of each document."""
     python_ready(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = _texts(docs).select("doc_id", row_key(F.col("text")).alias("row_key"), "text")
     return texts.mapInArrow(_sign(width, bands, rows), SIGNED)
 
 
@@ -223,6 +233,24 @@ def clusters_of(classes: DataFrame) -> DataFrame:
     return connected_components(edges.distinct()).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
 
 
+def grouped(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, row_key, n_shingles, component and component_id for each row of ``docs`` (``doc_id``, ``text``;
+    others ignored). ``component`` names the row's group of linked texts; it is null for an empty set."""
+    sign = written(signed(docs, width, bands, rows), "signed")
+    full = sign.where("class is not null")
+    cluster = clusters_of(full.groupBy("class").agg(F.first("bands").alias("bands")))
+    sized = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    links = _links(docs, written(sized.join(cluster, "class"), "clustered"), width, percent)
+    joined = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("joined"))
+    # A class without links is a component of its own.
+    of_row = sign.join(joined, "class", "left").withColumn("component", F.coalesce("joined", "class"))
+    of_row = of_row.select("doc_id", "row_key", "n_shingles", "component")
+    lowest = of_row.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("lowest"))
+    return of_row.join(lowest, "component", "left").select(
+        "doc_id", "row_key", "n_shingles", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id")
+    )
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (``doc_id``, ``text``; others ignored).
 
@@ -233,31 +261,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     ``component_id``; where all of a group are null, so is its component, and all are kept. An empty table
     gives no rows.
     """
-    spark = docs.sparkSession
-    python_ready(spark)
-    sign = written(signed(docs, width, bands, rows), "signed")
-    classes = sign.where("class is not null").groupBy("class").agg(
-        F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id")
-    )
-    cluster = clusters_of(classes.select("class", "bands"))
-    sized = written(
-        sign.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")).join(cluster, "class"),
-        "clustered",
-    )
-    links = _links(docs, sized, width, percent)
-    # Each class to its component; classes without links are their own.
-    joined = connected_components(links).withColumnRenamed("node", "class")
-    lowest = sign.groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(joined, "class")
-    names = lowest.groupBy("component").agg(F.min("doc_id").alias("reached"))
-    of_class = written(joined.join(names, "component").select("class", "reached"), "named")
-    single = sign.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("own"))
-    return (
-        sign.select("doc_id", "n_shingles", "class")
-        .join(single, "class", "left")
-        .join(of_class, "class", "left")
-        .select("doc_id", "n_shingles", F.coalesce("reached", "own", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    )
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return grouped(docs, width, percent, bands, rows).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest ``doc_id`` (ties: by text; a
+    null id comes first). Null and wordless texts belong to no group, and all stay. Columns stay as they are."""
+    rows = written(grouped(docs, width, percent).where("component is not null").groupBy("component", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("times")), "grouped")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    marked = rows.join(first, "component").withColumn("stays", F.struct("doc_id", "row_key").eqNullSafe(F.col("first")))
+    same = F.expr("doc_id <=> __id and __key <=> __row")
+    keyed = docs.withColumn("__key", row_key(F.col("text")))
+    ids = (F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"))
+    left = keyed.join(small_side(marked.where("not stays").select(*ids), 40), same, "left_anti")
+    # Rows that are repeated as a whole leave one.
+    again = written(marked.where("stays and times > 1").select(*ids), "repeated")
+    if not again.isEmpty():
+        again = small_side(again, 40)
+        once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__key"])
+        left = left.join(again, same, "left_anti").unionByName(once)
+    return left.select(*docs.columns)
 
 
 def _links(docs: DataFrame, sized: DataFrame, width: int, percent: int) -> DataFrame:
@@ -265,11 +289,10 @@ def _links(docs: DataFrame, sized: DataFrame, width: int, percent: int) -> DataF
     totals = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = sized.join(totals.select("cluster", blocks.alias("blocks")), "cluster")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # One text of each class that lies in a cluster; ids may repeat or be null, so the class decides.
     wanted = small_side(sized.select(F.col("doc_id").alias("rep")).distinct(), 16)
     bodies = (
-        texts.join(wanted, F.expr("doc_id <=> rep"), "left_semi")
+        _texts(docs).join(wanted, F.expr("doc_id <=> rep"), "left_semi")
         .select("text")
         .mapInArrow(_full_sets(width), "class binary, body binary")
         .where("class is not null")
