@@ -49,6 +49,12 @@ def registry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.join(F.broadcast(last), "epoch").drop("epoch")
 
 
+def _rows(worker: str, **columns: pd.Series) -> pd.DataFrame:
+    # Plain objects: pandas' own string type may reach Arrow in chunks, which the state runner does not take.
+    first = next(iter(columns.values()))
+    return pd.DataFrame({"worker": pd.Series([worker] * len(first), dtype=object), **columns})
+
+
 class Evictor(StatefulProcessor):
     """Emits (worker, sent_at) of heartbeats that no other follows in time.
 
@@ -75,7 +81,7 @@ class Evictor(StatefulProcessor):
             self.handle.deleteTimer(timer)
         self.last.update((last,))
         self.handle.registerTimer((last + self.timeout + 1) * 1000)
-        yield pd.DataFrame({"worker": [key[0]] * len(dead), "sent_at": pd.Series(dead, dtype="int64")})
+        yield _rows(key[0], sent_at=pd.Series(dead, dtype="int64"))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         dead = []
@@ -84,7 +90,7 @@ class Evictor(StatefulProcessor):
             if expiredTimerInfo.getExpiryTimeInMs() >= (last + self.timeout + 1) * 1000:
                 dead.append(last)
                 self.last.clear()
-        yield pd.DataFrame({"worker": [key[0]] * len(dead), "sent_at": pd.Series(dead, dtype="int64")})
+        yield _rows(key[0], sent_at=pd.Series(dead, dtype="int64"))
 
     def close(self) -> None:
         pass
@@ -116,7 +122,7 @@ class Fifo(StatefulProcessor):
             free = (at if free is None else max(at, free)) + self.service
             done.append(free)
         self.free.update((free,))
-        yield pd.DataFrame({"worker": [key[0]] * len(done), "id": [i for _, i in arrivals], "done": done})
+        yield _rows(key[0], id=pd.Series([i for _, i in arrivals], dtype="int64"), done=pd.Series(done, dtype="float64"))
 
     def close(self) -> None:
         pass
