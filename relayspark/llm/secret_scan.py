@@ -84,9 +84,10 @@ def _random(value: Column) -> Column:
     return F.when(value.rlike(ALLOWED), F.lit(False)).otherwise(top_entropy(value) >= bits)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` (all columns; a column ``found`` is replaced) with ``found``: an array of spans (start, rank, end, value) by start,
-    then kind. ``rank`` is an index of KINDS, ``value`` the start of the secret itself, all in code points.
+def scan(docs: DataFrame, into: str = "found") -> DataFrame:
+    """``docs`` (all columns; one named ``into`` is replaced) with ``into``: an array of spans (start, rank, end,
+    value) by start, then kind. ``rank`` is an index of KINDS, ``value`` the start of the secret itself, all in
+    code points.
 
     Spans of known patterns are all there. An ``entropy`` span is there unless one of those overlaps it. Null
     and empty texts have none; equal texts have equal spans; an empty table stays empty.
@@ -98,10 +99,10 @@ def scan(docs: DataFrame) -> DataFrame:
         # Shorter runs would be dropped anyway, and a run of hex digits never overlaps another.
         _spans(text, f"{HEX[:-1]}{{{HEX_LEAST},}}", 2, lambda v: F.length(v) >= HEX_LEAST),
     )
-    rows = docs.withColumn("found", F.array().cast(_SPAN)).withColumn("__base", base).withColumn("__more", _spans(text, CANDIDATE, 3, _random))
+    rows = docs.withColumn("__base", base).withColumn("__more", _spans(text, CANDIDATE, 3, _random))
     clash = lambda m: F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     spans = F.sort_array(F.concat("__base", F.filter("__more", lambda m: ~clash(m))))
-    return rows.withColumn("found", spans).drop("__base", "__more")
+    return rows.withColumn(into, spans).drop("__base", "__more")
 
 
 def spans_text(spans: Column) -> Column:
@@ -113,7 +114,7 @@ def spans_text(spans: Column) -> Column:
 def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by ``mask`` (of an assignment, only the value).
     Overlapping secrets become one mask. ``n_chars``, if there, is set anew for rows that change."""
-    rows = scan(docs).withColumnRenamed("found", "__found")
+    rows = scan(docs, "__found")
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
