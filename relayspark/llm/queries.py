@@ -155,4 +155,68 @@ def oracles() -> dict[str, str]:
                 coalesce(n_hit, 0) > 0 AS contaminated
             FROM doc LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
         """,
+        "op4_chat_formatting": rf"""
+            WITH said AS (
+                SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+                UNION ALL SELECT -1, 0, 'user', '{INJECTION}' UNION ALL SELECT -1, 1, 'assistant', '{INJECTION}')
+            SELECT conv_id, count(*) AS n_turns,
+                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+                sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+                sum(len('{chat_format.OPEN}{chat_format.CLOSE}') + 2 + len(role)
+                    + len(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::BIGINT AS formatted_chars
+            FROM said GROUP BY conv_id
+        """,
+        "op6_quality_rules": rf"""
+            WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+            parts AS (
+                SELECT doc_id, t, list_filter(string_split_regex(t, '{quality.SPACE}'), lambda x: x <> '') AS w,
+                    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{quality.NOT_SPACE}')) AS l
+                FROM doc),
+            win AS (
+                SELECT doc_id, i, array_to_string(list_slice(w, i, i + {quality.WINDOW - 1}), ' ') AS g
+                FROM (SELECT doc_id, w, unnest(range(1, len(w) - {quality.WINDOW - 2})) AS i FROM parts WHERE len(w) >= {quality.WINDOW})),
+            twice AS (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1),
+            covered AS (
+                SELECT doc_id, count(DISTINCT p) AS n
+                FROM (SELECT win.doc_id, unnest(range(i, i + {quality.WINDOW})) AS p FROM win JOIN twice ON win.doc_id = twice.doc_id AND win.g = twice.g)
+                GROUP BY doc_id),
+            lines AS (SELECT doc_id, unnest(l) AS line FROM parts),
+            good AS (
+                SELECT doc_id, sum(len(regexp_replace(line, '{quality.SPACE}', '', 'g'))) AS n FROM lines
+                WHERE regexp_matches(line, '{quality.LINE_END.replace("'", "''")}')
+                    AND len(regexp_replace(line, '{quality.NOT_SYMBOL}', '', 'g')) <= {quality.SYMBOL_SHARE} * len(line)
+                    AND NOT (regexp_matches(line, '{quality.MENU}') AND len(string_split_regex(trim(line), '{quality.SPACE}')) <= {quality.MENU_WORDS})
+                    AND NOT regexp_matches(line, '{quality.BOILERPLATE}')
+                GROUP BY doc_id),
+            counted AS (
+                SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars,
+                    len(regexp_replace(t, '{quality.NOT_SYMBOL}', '', 'g'))::BIGINT AS n_symbols,
+                    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+                    coalesce(good.n, 0) AS left_chars
+                FROM parts LEFT JOIN covered USING (doc_id) LEFT JOIN good USING (doc_id))
+            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+                (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) AS base_failed,
+                NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words)
+                    AND left_chars >= {1 - quality.MOST_LOST} * word_chars AS kept
+            FROM counted
+        """,
+        "op9_minhash": r"""
+            WITH RECURSIVE doc AS (
+                SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+                FROM documents),
+            spots AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 0)::BIGINT + 2)) AS i FROM doc WHERE len(w) > 0),
+            shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS s FROM spots),
+            sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+            common AS (
+                SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s
+                WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+            links AS (
+                SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+                WHERE 100 * c >= 80 * (p.n + q.n - c)),
+            reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+            low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+            SELECT doc.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc.doc_id = component_id AS kept
+            FROM doc JOIN low USING (doc_id) LEFT JOIN sizes USING (doc_id)
+        """,
     }
