@@ -7,7 +7,8 @@ against them gives a weight for each landmark and language. A batch of texts is
 products: presence against landmarks, and kernel values against weights.
 
 The model is fitted on the driver from a bounded sample: at most ``SAMPLE_PER_LANGUAGE`` texts of each
-language (those of the smallest hash of doc_id), so its size does not follow the corpus.
+language (those of the smallest hash of doc_id, of at most ``SAMPLE_CHARS`` characters), so its size does not
+follow the corpus.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +28,10 @@ from relayspark.llm.common import python_ready
 GRAMS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 200
 LANDMARKS_PER_LANGUAGE = 32
+#: Longest text that is learned from.
+SAMPLE_CHARS = 20_000
 #: Most languages that are learned: those with the most labelled rows.
-MOST_LANGUAGES = 200
+MOST_LANGUAGES = 100
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: A text that no language claims by this score is rejected by ``accepted``.
@@ -133,21 +136,18 @@ def fit(labelled: list[tuple[str, str]]) -> Model | None:
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     """Fit on a bounded sample of the rows of ``docs`` (doc_id, text, lang) that are labelled and not held out."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    usable = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & ~is_held_out(F.col("doc_id"))
+    rows = docs.where(usable).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return None
-    # A share of each language by hash, twice what is used, then the smallest hashes of those.
+    # First a share of each language by hash, about twice what is used; then the smallest hashes of those.
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 2.0 * per_language / r["count"] + 40.0 / r["count"])])
-    sample = rows.withColumn("u", unit).where(F.col("u") <= share[F.col("lang")]).select("u", "lang", "text").collect()
-    taken: dict[str, list[tuple[str, str]]] = {}
-    for r in sorted(sample, key=lambda r: (r["u"], r["lang"], r["text"])):
-        own = taken.setdefault(r["lang"], [])
-        if len(own) < per_language:
-            own.append((r["text"], r["lang"]))
-    return fit([x for lang in sorted(taken) for x in taken[lang]])
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], (2.0 * per_language + 40.0) / r["count"])])
+    some = rows.withColumn("u", unit).where(F.col("u") <= share[F.col("lang")])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
+    sample = some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "rank", "text").collect()
+    return fit([(r["text"], r["lang"]) for r in sorted(sample, key=lambda r: (r["lang"], r["rank"]))])
 
 
 def _predict(model: Model | None):
