@@ -36,6 +36,11 @@ def lines(entries: DataFrame) -> DataFrame:
     return entries.select(F.concat_ws(",", first, F.col("time_ms").cast("string"), F.col("total_bytes").cast("string")).alias("value"))
 
 
+def with_header(lines: DataFrame) -> DataFrame:
+    """The header line before the others, as an empty log file gets it."""
+    return lines.sparkSession.range(1).select(F.lit(HEADER).alias("value")).unionAll(lines)
+
+
 def worker_lines(messages: DataFrame) -> DataFrame:
     """The log of a worker (recipient, time_s, frames): the frames as a list, and for a message of one frame a
     second line with its length."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from relayspark.functions import codecs
 from relayspark.operators import dispatch, graph, liveness, neighbours, pipeline, queueing, registry, sendlog
-from relayspark.sources import tables
+from relayspark.sources import tables, wire
 from relayspark.streaming import keyed
 
 #: Parameters of the queries: seconds, and names that the tables hold.
@@ -282,6 +282,35 @@ def request_reply(spark, sf_dir):
     return asked.join(answers, "sender").select(F.col("sender").alias("worker"), "event_id", (F.col("latest") - F.col("sent_at")).alias("behind"))
 
 
+@query(f"WITH {_BEATS} SELECT event_id AS arrival, worker, sent_at, service, port, x, y FROM beats")
+def heartbeat_wire(spark, sf_dir):
+    beats = wire.heartbeats_of(wire.heartbeat_messages(tables.heartbeats(spark, sf_dir)))
+    return beats.select("arrival", "worker", "sent_at", "service", "port", "x", "y")
+
+
+@query(f"WITH {_TASKS} SELECT task_id, task_id::DOUBLE AS time, array_to_string(pipeline, ',') AS workers FROM tasks")
+def task_wire(spark, sf_dir):
+    tasks = wire.tasks_of(wire.task_json(tables.tasks(spark, sf_dir)))
+    return tasks.select("task_id", "time", F.array_join("pipeline", ",").alias("workers"))
+
+
+@query(f"WITH {_BEATS} SELECT worker, sent_at FROM registry WHERE worker >= 'Worker-0010'")
+def registry_delete(spark, sf_dir):
+    latest = registry.latest(tables.heartbeats(spark, sf_dir))
+    return registry.delete(latest, latest.where(F.col("worker") < "Worker-0010")).select("worker", "sent_at")
+
+
+@query(f"WITH {_BEATS} SELECT string_agg(worker, ',' ORDER BY worker) AS workers FROM registry")
+def registry_workers(spark, sf_dir):
+    return registry.worker_list(registry.latest(tables.heartbeats(spark, sf_dir))).select(F.array_join("workers", ",").alias("workers"))
+
+
+@query("""SELECT conv_id AS task_id, (max(turn) + 1 - min(turn))::DOUBLE AS elapsed FROM conversations GROUP BY conv_id""")
+def pipeline_elapsed(spark, sf_dir):
+    turns = tables.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("task_id")).agg(F.min("turn").alias("a"), (F.max("turn") + 1).alias("b"))
+    return pipeline.elapsed(turns.select("task_id", F.col("a").cast("double").alias("time")), turns.select("task_id", F.col("b").cast("double").alias("time")))
+
+
 @query()
 def generated_heartbeats(spark, sf_dir):
     return tables.generated_heartbeats(spark, 1_000)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from relayspark.client import Client
 from relayspark.functions import codecs
 from relayspark.operators import dispatch, liveness, neighbours, pipeline, queueing, registry, sendlog
-from relayspark.sources import tables
+from relayspark.sources import tables, wire
 from relayspark.streaming import keyed
 
 QUICK = settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -178,3 +178,21 @@ def test_client_answers(spark):
     assert client.run_pipeline().count() > 0 and client.graph_node_count().first().nodes > 0
 
 
+
+
+def test_wire_trims_quotes_and_takes_numbers(spark):
+    payload = '{"sentAt": 5, "service": "\'DEMO\'", "port": 6001, "x": 1, "y": 2, "more": 1}'
+    rows = messages(spark, ["heartbeat", "Worker-0001", payload], ["heartbeat", "Worker-0002", "{"], ["other", "x", "{}"])
+    got = {r.worker: r for r in wire.heartbeats_of(rows).collect()}
+    assert set(got) == {"Worker-0001", "Worker-0002"} and got["Worker-0002"].port is None
+    assert (got["Worker-0001"].service, got["Worker-0001"].port, got["Worker-0001"].x) == ("DEMO", "6001", "1")
+
+
+def test_sinks(spark, tmp_path):
+    lines = spark.createDataFrame([("a,1",)], "value string")
+    for _ in range(2):
+        wire.append_text(lines, f"{tmp_path}/log")
+    assert spark.read.text(f"{tmp_path}/log").count() == 2
+    assert [r.value for r in sendlog.with_header(lines).collect()] == [sendlog.HEADER, "a,1"]
+    wire.truncate(lines, f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 0
