@@ -10,7 +10,7 @@ Elements that by their kind are never main text (menus, forms, scripts, ...) sco
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -56,25 +56,33 @@ THRESHOLD = 0.2
 
 
 class _Blocks(HTMLParser):
-    """Blocks of a page: (path, container, text) in page order, without the elements that are never text."""
+    """Blocks of a page, (path, text) in page order, without the elements that are never text.
+
+    A path is a number; ``paths`` has its container (the path but for its last step) and that step, so deep
+    pages cost no long tuples.
+    """
 
     def __init__(self, hints: bool = True):
         super().__init__(convert_charrefs=True)
         self.hints = hints  # whether class, id and role tell noise
-        self.stack: list[tuple[str, str, bool]] = []  # (tag, step of the path, noise)
+        self.stack: list[tuple[str, int, bool]] = []  # (tag, path down to it, noise)
+        self.open: Counter = Counter()
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.paths: list[tuple[int, str]] = [(-1, "")]
         self.buffer: list[str] = []
-        self.blocks: list[tuple[tuple[str, ...], str]] = []
+        self.blocks: list[tuple[int, str]] = []
         self.noise = 0
 
     def flush(self):
         text = SPACE.sub(" ", "".join(self.buffer)).strip()
         self.buffer = []
         if text and not self.noise:
-            self.blocks.append((tuple(step for tag, step, _ in self.stack if tag not in INLINE), text))
+            self.blocks.append((self.stack[-1][1] if self.stack else 0, text))
 
     def _pop(self, to: int):
         while len(self.stack) > to:
             tag, _, noise = self.stack.pop()
+            self.open[tag] -= 1
             self.noise -= noise
 
     def handle_starttag(self, tag, attrs):
@@ -98,10 +106,17 @@ class _Blocks(HTMLParser):
         words = " ".join(filter(None, (named.get("class"), named.get("id"), named.get("role"))))
         noise = tag in NEVER or "hidden" in named or named.get("aria-hidden") == "true"
         noise = noise or bool(self.hints and tag not in MAIN and words and NOISE.search(words))
-        step = tag + "".join(sorted("." + w for w in (named.get("class") or "").split()))
         if noise and tag in INLINE and not self.noise:
             self.flush()
-        self.stack.append((tag, step, noise))
+        path = self.stack[-1][1] if self.stack else 0
+        if tag not in INLINE:
+            step = (path, tag + "".join(sorted("." + w for w in (named.get("class") or "").split())))
+            path = self.numbers.get(step, len(self.paths))
+            if path == len(self.paths):
+                self.numbers[step] = path
+                self.paths.append(step)
+        self.stack.append((tag, path, noise))
+        self.open[tag] += 1
         self.noise += noise
 
     def handle_startendtag(self, tag, attrs):
@@ -113,6 +128,8 @@ class _Blocks(HTMLParser):
         if tag == "br":
             self.buffer.append("\n")
             return
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 if tag not in INLINE or self.stack[i][2]:
@@ -128,51 +145,48 @@ class _Blocks(HTMLParser):
         self.buffer.append(data)
 
 
-def _blocks(html: str) -> list[tuple[tuple[str, ...], str]]:
+def _read(html: str) -> _Blocks:
     for hints in (True, False):  # a page whose outermost element bears such a name is read without hints
-        parser = _Blocks(hints)
-        parser.feed(html)
-        parser.close()
-        parser.flush()
-        if parser.blocks:
+        page = _Blocks(hints)
+        page.feed(html)
+        page.close()
+        page.flush()
+        if page.blocks:
             break
-    return parser.blocks
+    return page
 
 
 def extract(html: str | None) -> str:
     """The main text of a page, blocks joined by a line end; empty if there is none."""
-    blocks = _blocks(html or "")
-    if not blocks:
+    page = _read(html or "")
+    if not page.blocks:
         return ""
-    # Sums for each path, and from them its two ratios.
-    count: dict[tuple, int] = defaultdict(int)
-    chars: dict[tuple, int] = defaultdict(int)
-    marks: dict[tuple, int] = defaultdict(int)
-    for path, text in blocks:
-        count[path] += 1
-        chars[path] += len(text)
-        marks[path] += len(PUNCTUATION.findall(text))
-    # Smooth over the paths that share a container, and fuse.
-    inside: dict[tuple, list] = defaultdict(list)
-    for path in count:
-        inside[path[:-1]].append(path)
-    fused: dict[tuple, float] = {}
-    for container, paths in inside.items():
-        blocks_here = sum(count[p] for p in paths)
-        text_ratio = sum(chars[p] for p in paths) / blocks_here
-        mark_ratio = (1 + sum(marks[p] for p in paths)) / blocks_here
-        weight = sum(chars[p] for p in paths)
-        fused[container] = text_ratio * mark_ratio * weight
-    best = max(fused.values())
-    chosen = {c for c, score in fused.items() if score >= THRESHOLD * best}
-    # An article or main element around the best container bounds the content.
+    # Sums over the blocks of each path, smoothed over the paths that share a container.
+    count: Counter = Counter()
+    chars: Counter = Counter()
+    marks: Counter = Counter()
+    for path, text in page.blocks:
+        container = max(page.paths[path][0], 0)
+        count[container] += 1
+        chars[container] += len(text)
+        marks[container] += len(PUNCTUATION.findall(text))
+    # Text and punctuation for each block, fused, and weighted by how much text there is.
+    fused = {c: chars[c] / count[c] * (1 + marks[c]) / count[c] * chars[c] for c in count}
     top = max(fused, key=fused.get)
-    bound = next((top[: i + 1] for i in range(len(top) - 1, -1, -1) if top[i].split(".")[0] in ("article", "main")), None)
-    if bound:
-        keep = [text for path, text in blocks if path[: len(bound)] == bound]
-    else:
-        keep = [text for path, text in blocks if any(path[: len(c)] == c for c in chosen if len(c) > 1 or c == top)]
-    return "\n".join(keep)
+    chosen = {c for c, score in fused.items() if score >= THRESHOLD * fused[top] and (c > 0 or c == top)}
+    # An article or main element around the best container bounds the content.
+    bound, at = None, top
+    while at > 0:
+        if page.paths[at][1].split(".")[0] in ("article", "main"):
+            bound = at
+            break
+        at = page.paths[at][0]
+    roots = chosen if bound is None else {bound}
+    # Paths are numbered after their containers, so one pass tells which lie inside.
+    inside = [False] * len(page.paths)
+    for path, (container, _) in enumerate(page.paths):
+        inside[path] = path in roots or (container >= 0 and inside[container])
+    return "\n".join(text for path, text in page.blocks if inside[path])
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

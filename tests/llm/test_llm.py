@@ -417,6 +417,8 @@ def test_html_edges(spark):
     got = sorted((r.page_id or 0, r.text) for r in html_extract.main_text(df).collect())
     assert got == [(0, "a b"), (1, ""), (2, ""), (3, ""), (4, "plain, text"), (4, "plain, text"), (5, "all, noise."), (6, "deep")]
     assert html_extract.main_text(df.where("false")).count() == 0
+    deep = "".join(f"<div class=c{i}>text {i}, here." for i in range(5000)) + "</section>" * 5000
+    assert html_extract.extract(deep).count("\n") > 1000
 
 
 # -- 9 near duplicates
@@ -519,9 +521,9 @@ def test_entropy_is_that_of_the_best_window(spark):
 
 def test_allow_list_and_masks(spark, none):
     secret = "q9Xv2LmR7tYk4WzB8nHs3pDf"
-    texts = [(1, f"key {secret} end"), (2, "internationalizationofeverything and 12345678901234567890123"), (3, "some-long-slug-of-plain-words-in-a-path/2024/01/02"), (4, 'token = "abcdef123" AKIA' + "A1B2C3D4E5F6G7H8"), (5, None), (6, "123e4567-e89b-12d3-a456-426614174000")]
+    texts = [(1, f"key {secret} end"), (2, "internationalizationofeverything and 12345678901234567890123"), (3, "some-long-slug-of-plain-words-in-a-path/2024/01/02"), (4, 'token = "abcdef123" AKIA' + "A1B2C3D4E5F6G7H8"), (5, None), (6, "123e4567-e89b-12d3-a456-426614174000"), (7, "ab-12/" * 60_000)]
     got = {r.doc_id: [s["rank"] for s in r.found] for r in secret_scan.scan(frame(spark, texts)).collect()}
-    assert got == {1: [3], 2: [], 3: [], 4: [0, 1], 5: [], 6: []}
+    assert got == {1: [3], 2: [], 3: [], 4: [0, 1], 5: [], 6: [], 7: []}
     clean = {r.doc_id: r for r in secret_scan.redact(frame(spark, texts, extra=True)).collect()}
     assert clean[1].text == "key [SECRET] end" and clean[1].n_chars == 16
     assert clean[4].text == 'token = "[SECRET]" [SECRET]' and clean[5].text is None and clean[2].text == texts[1][1]
