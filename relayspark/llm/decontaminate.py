@@ -116,21 +116,21 @@ def without_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most:
     found = hits(docs, items, window).select(F.col("doc_id").alias("__d"), F.col("same").alias("__s"), F.col("positions").alias("__p"))
     text = F.col("text").cast("string")
     joined = docs.join(small_side(found, 4096), (F.col("doc_id").eqNullSafe(F.col("__d"))) & (F.md5(text.cast("binary")) == F.col("__s")), "left")
-    words = F.regexp_extract_all(text, F.lit(WORD_OR_UPPER), F.lit(0))
-    gaps = F.split(text, WORD_OR_UPPER, -1)
-    # A gap stays unless the words on both sides are hit; a text starts and ends with a gap.
-    flag = F.transform(F.sequence(F.lit(0), F.size(words) + 1), lambda i: F.when((i == 0) | (i > F.size(words)), False).otherwise(F.array_contains("__p", i - 1)))
-    parts = F.struct(words.alias("w"), gaps.alias("g"), flag.alias("f"))
-    cleaned = joined.withColumn("__x", F.when(F.col("__p").isNotNull(), parts))
-    rebuilt = F.concat_ws("", F.transform(
-        F.sequence(F.lit(0), F.size("__x.w")),
+    hit = F.col("__p").isNotNull()
+    parts = joined.withColumn("__w", F.when(hit, F.regexp_extract_all(text, F.lit(WORD_OR_UPPER), F.lit(0)))).withColumn("__g", F.when(hit, F.split(text, WORD_OR_UPPER, -1)))
+    # Gaps lie around the words; one stays unless the words on both its sides are hit. Arrays that a lambda
+    # reads are columns of an earlier step (and read twice), so that they are made once a row.
+    inside = lambda i: (i > 0) & (i <= F.size("__w")) & F.array_contains("__p", i - 1)
+    parts = parts.withColumn("__f", F.when(hit, F.transform(F.sequence(F.lit(0), F.size("__w") + 1), inside)))
+    rebuilt = F.array_join(F.transform(
+        F.sequence(F.lit(0), F.size("__g") - 1),
         lambda i: F.concat(
-            F.when(F.get("__x.f", i) & F.get("__x.f", i + 1), F.lit("")).otherwise(F.get("__x.g", i)),
-            F.when(F.get("__x.f", i + 1), F.lit("")).otherwise(F.coalesce(F.get("__x.w", i), F.lit(""))),
+            F.when(F.get("__f", i) & F.get("__f", i + 1), F.lit("")).otherwise(F.get("__g", i)),
+            F.when((i >= F.size("__w")) | F.get("__f", i + 1), F.lit("")).otherwise(F.get("__w", i)),
         ),
-    ))
-    cleaned = cleaned.where(F.col("__p").isNull() | (F.size("__p") <= most * F.size("__x.w")))
-    cleaned = cleaned.withColumn("text", F.when(F.col("__p").isNotNull(), rebuilt).otherwise(F.col("text")))
+    ), "")
+    cleaned = parts.where(F.col("__p").isNull() | (F.size("__p") <= most * F.size("__w")))
+    cleaned = cleaned.withColumn("text", F.when(hit, rebuilt).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("__p").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        cleaned = cleaned.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cleaned.select(*docs.columns)
