@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relayspark.llm.common import ascii_lower, small_side
+from relayspark.llm.common import ascii_lower, small_side, written
 
 WINDOW = 10
 STRIDE = 5
@@ -65,13 +65,15 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride: int =
     if not scans:  # no benchmark words at all
         return keyed.where("false").select("doc_id", F.md5("text").alias("same"), F.lit(0).alias("n_hit"), F.array().cast("array<int>").alias("positions"), F.array().cast("array<string>").alias("items"))
     seen = words.select("doc_id", F.md5(F.col("text").cast("binary")).alias("same"), F.explode(F.concat(*scans)).alias("h"))
-    suspects = seen.join(small_side(probe, 16), "h", "left_semi").select("doc_id", "same").distinct()
+    # Written, as their number is asked for before they are used: the scan of all documents runs once.
+    suspects = written(seen.join(small_side(written(probe, "probe"), 16), "h", "left_semi").select("doc_id", "same").distinct(), "suspects")
 
-    # All windows of the suspects, verified word for word.
+    # All windows of the suspects, verified word for word. Only their texts are split once more.
     side = small_side(suspects, 64)
-    close = words.withColumn("same", F.md5(F.col("text").cast("binary"))).select("doc_id", "same", "w").join(
+    close = keyed.withColumn("same", F.md5(F.col("text").cast("binary"))).join(
         side.select(F.col("doc_id").alias("d"), F.col("same").alias("s")), F.expr("doc_id <=> d and same = s"), "left_semi"
-    ).dropDuplicates(["doc_id", "same"])
+    ).dropDuplicates(["doc_id", "same"]).select("doc_id", "same", words_of(F.col("text")).alias("w"))
+
     def spans(length: int) -> Column:
         """Each ``length`` consecutive words with their position."""
         starts = F.sequence(F.lit(1), F.size("w") - (length - 1))
@@ -84,7 +86,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride: int =
         F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))).alias("p"),
         F.array_distinct(F.flatten(F.collect_set("ids"))).alias("i"),
     )
-    return by_text.select("doc_id", "same", F.size("p").alias("n_hit"), F.array_sort("p").alias("positions"), F.array_sort("i").alias("items"))
+    out = by_text.select("doc_id", "same", F.size("p").alias("n_hit"), F.array_sort("p").alias("positions"), F.array_sort("i").alias("items"))
+    return written(out, "hits")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
