@@ -1,8 +1,9 @@
 """Token ids by the ``tokenizers`` library, with one library call for each distinct piece of text.
 
-A text is cut before each run of white space that follows other text. No token of the two vocabularies in
-use spans such a place (their pre-tokenisers never join other text to white space behind it), so the ids of
-a text are the ids of its pieces in order. Pieces repeat: a worker keeps the ids of those it has seen, in
+A text is cut before each run of white space that follows other text, and between letters and the ASCII
+punctuation behind them. No token of the two vocabularies in use spans such a place (their pre-tokenisers
+never join other text to white space behind it, nor letters to punctuation), so the ids of a text are the ids
+of its pieces in order. Texts that might hold a special token are cut at white space alone. Pieces repeat: a worker keeps the ids of those it has seen, in
 two generations of bounded size.
 """
 
@@ -15,9 +16,15 @@ import numpy as np
 #: Unicode white space, as the pre-tokenisers define it (Python also counts U+001C to U+001F).
 _SPACED = re.compile(r"[^\S\x1c-\x1f]*(?:\S|[\x1c-\x1f])+|[^\S\x1c-\x1f]+")
 _BARE = re.compile(r"(?:\S|[\x1c-\x1f])+")
-
-#: Pieces that one generation of a worker's cache may hold, and the longest piece that is kept.
-CACHE_PIECES = 600_000
+#: The same, with a word of Latin letters on its own where white space or ASCII punctuation follows. (The
+#: letter U+0130 is left out: its lower case ends in a mark, which joins the punctuation.)
+_WORD = r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+(?=[!-/:-@\[-`{-~]|[^\S\x1c-\x1f]|\Z)"
+_SPACED_FINE = re.compile(rf"[^\S\x1c-\x1f]*{_WORD}|{_SPACED.pattern}")
+_BARE_FINE = re.compile(rf"{_WORD}|{_BARE.pattern}")
+_MARK = "<|"
+
+#: Pieces that one generation of a worker's cache may hold (about 60 MB), and the longest piece that is kept.
+CACHE_PIECES = 250_000
 CACHE_CHARS = 64
 
 
@@ -29,7 +36,11 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # A vocabulary whose pre-tokeniser removes white space can share pieces with and without it.
-        self.split = (_BARE if self._drops_space() else _SPACED).findall
+        coarse, fine = (_BARE, _BARE_FINE) if self._drops_space() else (_SPACED, _SPACED_FINE)
+        marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.coarse = coarse.findall
+        # Other special tokens than the known form could be cut in two.
+        self.fine = fine.findall if all(m.startswith(_MARK) for m in marks) else self.coarse
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -41,14 +52,16 @@ class PieceEncoder:
         for at in range(0, len(pieces), 2000):
             some = pieces[at : at + 2000]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            for piece, got in zip(some, found, strict=True):
-                made[piece] = np.asarray(got.ids, dtype="<u4").tobytes()
+            made.update((p, np.asarray(got.ids, dtype="<u4").tobytes()) for p, got in zip(some, found, strict=True))
         return made
 
+    def split(self, text: str) -> list[str]:
+        return self.coarse(text) if _MARK in text else self.fine(text)
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.split(text) if text else [] for text in texts]
+        pieces_of = [self.split(text) if text else [] for text in texts]
         young, old, extra = self.young, self.old, {}
-        missing = set().union(*split)
+        missing = set().union(*pieces_of)
         missing -= young.keys()
         if again := [p for p in missing if p in old]:
             young.update((p, old[p]) for p in again)
@@ -58,10 +71,10 @@ class PieceEncoder:
             for piece, ids in made.items():
                 (young if len(piece) <= CACHE_CHARS else extra)[piece] = ids
         if extra:
-            out = [b"".join([young[p] if p in young else extra[p] for p in pieces]) for pieces in split]
+            out = [b"".join([young[p] if p in young else extra[p] for p in pieces]) for pieces in pieces_of]
         else:
             get = young.__getitem__
-            out = [b"".join(map(get, pieces)) for pieces in split]
+            out = [b"".join(map(get, pieces)) for pieces in pieces_of]
         if len(young) > CACHE_PIECES:
             self.young, self.old = {}, young
         return out

@@ -268,6 +268,8 @@ def test_pieces_give_the_ids_of_whole_texts(name):
     rng = random.Random(1)
     parts = [*" \n\t\r\x1caB'!1<", "  ", "é", "é", "Σ", "٣", " ", "　", "​", "🙂", "<|endoftext|>", "<|endoftext|> ", "it's", "  x"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["", None]
+    plain = [p for p in parts if "<" not in p] + ["Word", "é", "ȳ", "ab", "9", "#", "can't", "-", "_", "|>", "<", "ſ", "K", "İ"]
+    texts += ["".join(rng.choice(plain) for _ in range(rng.randint(0, 25))) for _ in range(6000)]
     enc = encoder(queries.vocabulary(name))
     want = [np.asarray(x.ids, dtype="<u4").tobytes() for x in enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert enc.encode_all(texts) == want and enc.encode_all(texts[::-1]) == want[::-1]
