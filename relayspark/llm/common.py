@@ -34,12 +34,23 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/relayspark/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and outlives a lost executor."""
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path: cuts lineage and outlives a lost executor."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """As ``stored``, for a table that the result reads."""
+    return stored(df, label)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def python_ready(spark: SparkSession) -> None:
@@ -47,6 +58,8 @@ def python_ready(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [_ROOT, env.get("PYTHONPATH", "")]))
+    # Workers outlive their stage; with one arena and the system's pool they give back what they freed.
+    env["MALLOC_ARENA_MAX"], env["ARROW_DEFAULT_MEMORY_POOL"] = "1", "system"
     # One thread for each task: tasks are the unit of parallelism.
     env["TOKENIZERS_PARALLELISM"] = "false"
     env["RAYON_NUM_THREADS"] = env["OMP_NUM_THREADS"] = env["OPENBLAS_NUM_THREADS"] = "1"

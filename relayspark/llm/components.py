@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relayspark.llm.common import written
+from relayspark.llm.common import discard, stored
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -16,16 +16,21 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     rounds. A node's edges are only ever aggregated or joined, so a node with very many is no single task's
     list. Raises if the graph has not settled after ``most_rounds`` (which grow with its logarithm).
     """
-    now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    ordered = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    now, path = stored(ordered.where("a <> b").distinct(), "edges")
     for _ in range(most_rounds):
         large = _star(now, larger=True)
-        after = written(_star(large, larger=False), "edges")
-        # Settled: every edge joins a component's smallest node and another, each node once.
-        heads, tails = after.select(F.col("a").alias("b")), after.groupBy("b").count().where("count > 1")
-        if after.join(heads, "b", "left_semi").isEmpty() and tails.isEmpty():
+        after, next_path = stored(_star(large, larger=False), "edges")
+        discard(edges.sparkSession, path)
+        # Settled: every edge joins a component's smallest node and another, which lies on no other edge.
+        ends = after.select(F.col("b").alias("n"), F.lit(1).alias("tail"), F.lit(0).alias("head")).unionAll(
+            after.select("a", F.lit(0), F.lit(1))
+        )
+        loose = ends.groupBy("n").agg(F.sum("tail").alias("tails"), F.max("head").alias("heads"))
+        if loose.where("tails + heads > 1 and tails > 0").isEmpty():
             roots = after.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("component"))
             return after.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
-        now = after
+        now, path = after, next_path
     raise RuntimeError("components have not settled")
 
 
