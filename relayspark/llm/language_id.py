@@ -6,6 +6,10 @@ of each language, stand for the training set; one-versus-rest kernel ridge regre
 against them gives a weight for each landmark and language. A batch of texts is scored by two matrix
 products: presence against landmarks, and kernel values against weights.
 
+Those scores only say which language is nearest. Whether a text is in it at all is told by the share of its
+n-grams that the language's landmarks know; how large that must be is set by labelled texts against landmarks
+other than themselves.
+
 The model is fitted on the driver from a bounded sample: at most ``SAMPLE_PER_LANGUAGE`` texts of each
 language (those of the smallest hash of doc_id, of at most ``SAMPLE_CHARS`` characters), so its size does not
 follow the corpus.
@@ -14,8 +18,10 @@ follow the corpus.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,13 @@ RIDGE = 1e-3
 UNKNOWN = "und"
 #: A text that no language claims by this score is rejected by ``accepted``.
 LEAST_SCORE = 0.3
+#: A text is in a language if its landmarks know this share of the text's n-grams of letters. A language whose own
+#: labelled texts are known less has a lower limit: a part of the share that all but a tenth of them reach.
+LEAST_KNOWN = 0.5
+KNOWN_PART = 0.6
+KNOWN_QUANTILE = 0.1
+#: So many of a text's n-grams need not be known.
+FORGIVEN = 4
 #: Characters of text whose n-grams are found at once; a longer text is read on its own.
 CHUNK_CHARS = 1 << 20
 _BITS = 20
@@ -48,22 +61,34 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _hashed(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length of n-gram: (its number, row of each n-gram, its hash of ``_BITS`` bits)."""
+@cache
+def _letters() -> np.ndarray:
+    """By code point: whether it is a letter or a mark."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def _hashed(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of n-gram: (its number, row of each n-gram, its hash of ``_BITS`` bits, whether it is of
+    letters and blanks, not of blanks alone)."""
     joined = "\x00".join(texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     gap = codes == 0
     row = np.cumsum(gap, dtype=np.int64)
+    letter = _letters()[codes]
+    plain = letter | (codes == 32)
     for k, n in enumerate(GRAMS):
         size = len(codes) - n + 1
         if size <= 0:
             continue
         mixed, whole = codes[:size].copy(), ~gap[:size]
+        pure, some = plain[:size].copy(), letter[:size].copy()
         for i in range(1, n):
             mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + codes[i : size + i]
             whole &= ~gap[i : size + i]
+            pure &= plain[i : size + i]
+            some |= letter[i : size + i]
         hashed = (mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _BITS)
-        yield k, row[:size][whole], hashed[whole].astype(np.int64)
+        yield k, row[:size][whole], hashed[whole].astype(np.int64), (pure & some)[whole]
 
 
 def _clean(text: str | None) -> str:
@@ -72,12 +97,16 @@ def _clean(text: str | None) -> str:
 
 @dataclass
 class Model:
-    """``features`` are hashes by length of n-gram; ``landmarks`` their presence, scaled; ``weights`` by language."""
+    """``features`` are hashes by length of n-gram; ``landmarks`` their presence, scaled; ``weights`` by language;
+    ``holders`` the number of landmarks of each language that have a feature, up to 2; ``least`` the share of a text's
+    n-grams that a language has to know."""
 
     languages: list[str]
     features: list[np.ndarray]
     landmarks: np.ndarray
     weights: np.ndarray
+    holders: np.ndarray
+    least: np.ndarray
 
     def tables(self) -> list[np.ndarray]:
         out, at = [], 0
@@ -92,7 +121,7 @@ class Model:
         """One row for each text; each length of n-gram has unit norm over their number."""
         bounds = np.cumsum([0] + [len(f) for f in self.features])
         out = np.zeros((len(texts), int(bounds[-1])), dtype=np.float32)
-        for k, row, hashed in _hashed(texts):
+        for k, row, hashed, _ in _hashed(texts):
             place = tables[k][hashed]
             known = place >= 0
             out[row[known], place[known]] = 1
@@ -104,6 +133,24 @@ class Model:
     def scores(self, texts: list[str], tables: list[np.ndarray]) -> np.ndarray:
         return (self.presence(texts, tables) @ self.landmarks.T) @ self.weights
 
+    def known(self, texts: list[str], tables: list[np.ndarray], language: np.ndarray, holders: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What at least ``holders`` landmarks of each text's ``language`` know of its n-grams of letters: the share
+        of the longest n-grams that it has, the number of those, and the mean share over all lengths."""
+        share, number, total = (np.zeros(len(texts)) for _ in range(3))
+        for k, row, hashed, pure in _hashed(texts):
+            row, place = row[pure], tables[k][hashed[pure]]
+            hit = (place >= 0) & (self.holders[place, language[row]] >= holders)
+            size = np.bincount(row, minlength=len(texts))
+            part = np.bincount(row[hit], minlength=len(texts)) / np.maximum(size, 1)
+            share, number, total = np.where(size > 0, part, share), np.where(size > 0, size, number), total + part
+        return share, number, total / len(GRAMS)
+
+    def members(self, texts: list[str], tables: list[np.ndarray], language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each text is in its ``language``, and its mean known share. A short unknown
+        word is forgiven, but a text of which nothing is known is in no language."""
+        share, number, mean = self.known(texts, tables, language)
+        return (share + FORGIVEN / np.maximum(number, 1) >= self.least[language]) & (mean > 0), mean
+
 
 def fit(labelled: list[tuple[str, str]]) -> Model | None:
     """A model from (text, language) pairs; None without any."""
@@ -112,14 +159,22 @@ def fit(labelled: list[tuple[str, str]]) -> Model | None:
     if not languages:
         return None
     chosen: list[str] = []
-    for lang in languages:
-        chosen += [text for text, own in labelled if own == lang][:LANDMARKS_PER_LANGUAGE]
+    others: list[str] = []
+    chosen_own: list[int] = []
+    others_own: list[int] = []
+    for k, lang in enumerate(languages):
+        texts = [text for text, own in labelled if own == lang]
+        chosen += texts[:LANDMARKS_PER_LANGUAGE]
+        others += texts[LANDMARKS_PER_LANGUAGE:]
+        chosen_own += [k] * len(texts[:LANDMARKS_PER_LANGUAGE])
+        others_own += [k] * len(texts[LANDMARKS_PER_LANGUAGE:])
     found: list[list[np.ndarray]] = [[] for _ in GRAMS]
     for text in chosen:
-        for k, _, hashed in _hashed([text]):
+        for k, _, hashed, _ in _hashed([text]):
             found[k].append(np.unique(hashed))
     features = [np.unique(np.concatenate(f)) if f else np.zeros(0, dtype=np.int64) for f in found]
-    model = Model(languages, features, np.zeros((0, 0)), np.zeros((0, 0)))
+    holders = np.zeros((sum(map(len, features)), len(languages)), dtype=np.uint8)
+    model = Model(languages, features, np.zeros((0, 0)), np.zeros((0, 0)), holders, np.full(len(languages), LEAST_KNOWN))
     tables = model.tables()
     model.landmarks = model.presence(chosen, tables)
     kernel = np.concatenate([model.presence([text], tables) @ model.landmarks.T for text, _ in labelled]).astype(np.float64)
@@ -131,6 +186,14 @@ def fit(labelled: list[tuple[str, str]]) -> Model | None:
     left = kernel.T @ (kernel * share[:, None]) + RIDGE * between + 1e-9 * np.eye(len(chosen))
     model.weights = np.linalg.solve(left, kernel.T @ (target * share[:, None])).astype(np.float32)
     model.landmarks = model.landmarks.astype(np.float32)
+    for k, row in zip(chosen_own, model.landmarks, strict=True):
+        model.holders[row > 0, k] = np.minimum(model.holders[row > 0, k] + 1, 2)
+    # A landmark knows its own n-grams; so for landmarks another one has to know them, too.
+    shares: list[list[float]] = [[] for _ in languages]
+    for texts, owners, least in ((chosen, chosen_own, 2), (others, others_own, 1)):
+        for text, k in zip(texts, owners, strict=True):
+            shares[k].append(float(model.known([text], tables, np.asarray([k]), least)[0][0]))
+    model.least = np.asarray([min(LEAST_KNOWN, KNOWN_PART * float(np.quantile(x, KNOWN_QUANTILE))) for x in shares])
     return model
 
 
@@ -164,10 +227,14 @@ def _predict(model: Model | None):
                     some.append(todo[at])
                     size += len(raw[todo[at]])
                     at += 1
-                scores = model.scores([_clean(raw[i]) for i in some], tables)
+                texts = [_clean(raw[i]) for i in some]
+                scores = model.scores(texts, tables)
                 best = scores.argmax(axis=1)
-                for i, k, s in zip(some, best.tolist(), scores[np.arange(len(some)), best].tolist(), strict=True):
-                    names[i], values[i] = model.languages[k], min(1.0, max(0.0, (1 + s) / 2))
+                inside, known = model.members(texts, tables, best)
+                claims = scores[np.arange(len(some)), best]
+                for i, k, s, own, part in zip(some, best.tolist(), claims.tolist(), inside.tolist(), known.tolist(), strict=True):
+                    value = min(1.0, max(0.0, (1 + s) / 2))
+                    names[i], values[i] = (model.languages[k], value) if own else (UNKNOWN, value * part)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(values, pa.float64())],
                 [*batch.schema.names, "lang_pred", "score"],
@@ -180,7 +247,8 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1; columns of those names are replaced).
 
     Only ``text`` is read. A text that is null or has no letter is ``und`` with score 0, and so is every text
-    if there was nothing to learn from. Equal texts get equal results; an empty table stays empty.
+    if there was nothing to learn from. A text of which the nearest language knows too little is ``und``, too: its
+    score is that language's times the share that is known, 0 for a script that was not learned. Equal texts get equal results; an empty table stays empty.
     """
     python_ready(docs.sparkSession)
     rows = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))

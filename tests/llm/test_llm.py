@@ -193,6 +193,28 @@ def test_language_edges(spark, odd, none):
     assert language_id.classify(none, model).count() == 0 and language_id.accepted(language_id.classify(odd, model)).count() >= 1
 
 
+#: Texts in no language of the tables, most of them in letters that those use.
+UNLEARNED = {
+    "th": "ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำแน่นอน เมื่อวานเราไปตลาดและซื้อผลไม้มากมาย",
+    "ja": "日本語は主に日本で使われている言語です。昨日は友達と一緒に海へ行き、夕食に魚を食べました。",
+    "ru": "Русский язык относится к восточнославянской группе. Вчера мы гуляли по лесу, собирали грибы и ягоды.",
+    "ar": "اللغة العربية هي أكثر اللغات السامية تحدثا. ذهبنا أمس إلى السوق واشترينا الفاكهة والخبز.",
+    "el": "Η ελληνική γλώσσα μιλιέται στην Ελλάδα και στην Κύπρο. Χθες πήγαμε στη θάλασσα και μετά φάγαμε ψάρι.",
+    "fi": "Suomen kieli kuuluu uralilaisten kielten ryhmään, ja sitä puhutaan pääosin Suomessa. Talvella lumi peittää metsät ja järvet, ja ihmiset hiihtävät tai viettävät aikaa saunassa ystävien kanssa.",
+    "pl": "Język polski należy do grupy języków zachodniosłowiańskich. Wczoraj poszliśmy na spacer do lasu, gdzie zbieraliśmy grzyby i jagody, a potem wróciliśmy zmęczeni do domu na obiad.",
+    "base64": "q9Xv2LmR7tYk4WzB8nHs3pDfVGhpcyBpcyBub3Qgc28gZWFzeSB0byByZWFkQUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVphYmNkZWZnaGlqa2xtbm9wcXJzdHV2",
+}
+
+
+def test_texts_in_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    model = language_id.train(docs)
+    got = language_id.classify(frame(spark, list(enumerate(UNLEARNED.values()))), model).collect()
+    assert {r.lang_pred for r in got} == {"und"} and all(r.score < 0.05 for r in got if r.doc_id < 5)
+    clean = docs.where(language_id.is_held_out(F.col("doc_id")) & (F.length("text") > 200))
+    assert language_id.accepted(language_id.classify(clean, model)).count() == clean.count() > 20
+
+
 # -- 4 chat
 
 
