@@ -1,9 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
 A page is a sequence of blocks, each with a tag path from the root to its leaf. For each path the length of
-its text and its punctuation are summed and put in proportion to its number of blocks. The ratios are
-smoothed over the paths of one container (a heading takes part in the score of the paragraphs beside it),
-fused (text times punctuation), and paths above a threshold give the content, in page order.
+its text and its punctuation, both without links, are summed and put in proportion to its number of blocks (the
+items of a list or table count as one). The
+ratios are smoothed over the paths of one container (the innermost element that is no paragraph, list, table or
+the like), fused (text times punctuation), and paths above a threshold give the content, in page order. An article
+or main element around a path raises its score, no more. A heading goes with the text that follows it.
 Elements that by their kind are never main text (menus, forms, scripts, ...) score nothing.
 """
 
@@ -38,7 +40,12 @@ CLOSES = {
     "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "option": frozenset(["option", "optgroup"]),
 }
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADINGS = {f"h{i}": i for i in range(1, 7)}
+#: Elements of running text: their paths are smoothed with those beside them.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption".split())
+#: Elements whose items in a row count as one block, and the items.
+LISTS = frozenset("ul ol dl table".split())
+ITEMS = frozenset("li dt dd td th".split())
 #: Words of class, id or role that name what is not main text.
 NOISE = re.compile(
     r"(?:^|[\s_-])(ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|comments?|comment\w*|replies|respond|discussion|disqus\w*"
@@ -51,12 +58,15 @@ NOISE = re.compile(
 MAIN = frozenset(["article", "main", "body", "html"])
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？¡¿]")
 SPACE = re.compile(r"\s+")
-#: A container is content if its fused score reaches this share of the best container's.
+#: A path is content if its fused score reaches this share of the best path's.
 THRESHOLD = 0.2
+#: The part of a path's ratios that is its container's mean, and how an article or main element weighs.
+SMOOTH = 0.25
+PRIOR = 2.0
 
 
 class _Blocks(HTMLParser):
-    """Blocks of a page, (path, text) in page order, without the elements that are never text.
+    """Blocks of a page, (path, text, text outside links) in page order, without the elements that are never text.
 
     A path is a number; ``paths`` has its container (the path but for its last step) and that step, so deep
     pages cost no long tuples.
@@ -65,29 +75,33 @@ class _Blocks(HTMLParser):
     def __init__(self, hints: bool = True):
         super().__init__(convert_charrefs=True)
         self.hints = hints  # whether class, id and role tell noise
-        self.stack: list[tuple[str, int, bool]] = []  # (tag, path down to it, noise)
+        self.stack: list[tuple[str, int, bool, bool]] = []  # (tag, path down to it, noise, link)
         self.open: Counter = Counter()
         self.numbers: dict[tuple[int, str], int] = {}
         self.paths: list[tuple[int, str]] = [(-1, "")]
         self.buffer: list[str] = []
-        self.blocks: list[tuple[int, str]] = []
+        self.unlinked: list[str] = []
+        self.blocks: list[tuple[int, str, str]] = []
         self.noise = 0
+        self.links = 0
 
     def flush(self):
         text = SPACE.sub(" ", "".join(self.buffer)).strip()
-        self.buffer = []
+        own = SPACE.sub(" ", "".join(self.unlinked)).strip()
+        self.buffer, self.unlinked = [], []
         if text and not self.noise:
-            self.blocks.append((self.stack[-1][1] if self.stack else 0, text))
+            self.blocks.append((self.stack[-1][1] if self.stack else 0, text, own))
 
     def _pop(self, to: int):
         while len(self.stack) > to:
-            tag, _, noise = self.stack.pop()
+            tag, _, noise, link = self.stack.pop()
             self.open[tag] -= 1
             self.noise -= noise
+            self.links -= link
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
-            self.buffer.append("\n")
+            self.handle_data("\n")
             return
         if tag in VOID:
             if tag == "hr":
@@ -115,9 +129,11 @@ class _Blocks(HTMLParser):
             if path == len(self.paths):
                 self.numbers[step] = path
                 self.paths.append(step)
-        self.stack.append((tag, path, noise))
+        link = tag == "a" and "href" in named
+        self.stack.append((tag, path, noise, link))
         self.open[tag] += 1
         self.noise += noise
+        self.links += link
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -126,7 +142,7 @@ class _Blocks(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag == "br":
-            self.buffer.append("\n")
+            self.handle_data("\n")
             return
         if not self.open[tag]:
             return
@@ -143,6 +159,8 @@ class _Blocks(HTMLParser):
         if self.noise:
             return
         self.buffer.append(data)
+        if not self.links:
+            self.unlinked.append(data)
 
 
 def _read(html: str) -> _Blocks:
@@ -161,32 +179,57 @@ def extract(html: str | None) -> str:
     page = _read(html or "")
     if not page.blocks:
         return ""
-    # Sums over the blocks of each path, smoothed over the paths that share a container.
+    # Paths are numbered after the elements around them, so one pass tells what those are.
+    level, container, within, listed, item = [0], [0], [False], [0], [0]
+    for path, (above, step) in enumerate(page.paths[1:], 1):
+        tag = step.split(".")[0]
+        level.append(HEADINGS.get(tag, 0))
+        container.append(container[above] if tag in FLOW else path)
+        within.append(within[above] or tag in ("article", "main"))
+        listed.append(path if tag in LISTS else listed[above])
+        item.append(listed[path] if tag in ITEMS else 0)
+    blocks = [b for b in page.blocks if not level[b[0]]]
+    if not blocks:
+        return "\n".join(text for _, text, _ in page.blocks)
+    # A page of nothing but links is judged by those.
+    blocks = [(p, own) for p, _, own in blocks] if any(own for _, _, own in blocks) else [(p, text) for p, text, _ in blocks]
     count: Counter = Counter()
     chars: Counter = Counter()
     marks: Counter = Counter()
-    for path, text in page.blocks:
-        container = max(page.paths[path][0], 0)
-        count[container] += 1
-        chars[container] += len(text)
-        marks[container] += len(PUNCTUATION.findall(text))
-    # Text and punctuation for each block, fused, and weighted by how much text there is.
-    fused = {c: chars[c] / count[c] * (1 + marks[c]) / count[c] * chars[c] for c in count}
-    top = max(fused, key=fused.get)
-    chosen = {c for c, score in fused.items() if score >= THRESHOLD * fused[top] and (c > 0 or c == top)}
-    # An article or main element around the best container bounds the content.
-    bound, at = None, top
-    while at > 0:
-        if page.paths[at][1].split(".")[0] in ("article", "main"):
-            bound = at
-            break
-        at = page.paths[at][0]
-    roots = chosen if bound is None else {bound}
-    # Paths are numbered after their containers, so one pass tells which lie inside.
-    inside = [False] * len(page.paths)
-    for path, (container, _) in enumerate(page.paths):
-        inside[path] = path in roots or (container >= 0 and inside[container])
-    return "\n".join(text for path, text in page.blocks if inside[path])
+    around: dict[int, list[int]] = {}  # of each container: blocks, characters, marks
+    last, seen = 0, set()
+    for path, text in blocks:
+        size, n = len(text), len(PUNCTUATION.findall(text))
+        if item[path] != last:
+            last, seen = item[path], set()
+        fresh = not last or path not in seen
+        seen.add(path)
+        count[path] += fresh
+        chars[path] += size
+        marks[path] += n
+        sums = around.setdefault(container[path], [0, 0, 0])
+        sums[0], sums[1], sums[2] = sums[0] + fresh, sums[1] + size, sums[2] + n
+    fused = {}
+    for path, n in count.items():
+        blocks_in, chars_in, marks_in = around[container[path]]
+        text = (1 - SMOOTH) * chars[path] / n + SMOOTH * chars_in / blocks_in
+        points = (1 - SMOOTH) * (1 + marks[path]) / n + SMOOTH * (1 + marks_in) / blocks_in
+        fused[path] = text * points * (PRIOR if within[path] else 1)
+    # The best path has much text besides high ratios.
+    top = fused[max(fused, key=lambda p: fused[p] * chars[p])]
+    chosen = {path for path, score in fused.items() if score >= THRESHOLD * top}
+    # A heading is content if some is below it, before the next heading of its level or a higher one.
+    out, below, bounded = [], [False] * 7, any(within[p] for p in chosen)
+    for path, text, _ in reversed(page.blocks):
+        at = level[path]
+        if at:
+            if below[at] and (within[path] or not bounded):
+                out.append(text)
+            below[at:] = [False] * (7 - at)
+        elif path in chosen:
+            out.append(text)
+            below = [True] * 7
+    return "\n".join(reversed(out))
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -427,6 +427,22 @@ def test_main_text_without_the_rest(tag):
     assert html_extract.extract(PAGE % (tag, tag)) == "Title & more\nFirst bold text, with <marks>.\nSecond one. Yes.\nPoint one.\nPoint two."
 
 
+LONG = "A sentence of the text, which is long enough to count. Another one follows it, as in any text. And then a third."
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_ratios_choose_inside_the_main_element(tag):
+    text = f"<h1>Title</h1><p>{LONG}</p><div class='zq'>Buy now, cheap!</div><ul><li>First point of it.<li>Second point.</ul><p>{LONG}</p>"
+    rest = "<h2>More of this</h2><ul class='x7'>" + "<li><a href='/a'>Another page, which is elsewhere</a>" * 5 + "</ul>"
+    page = f"<body><{tag}>{text}{rest}</{tag}></body>"
+    assert html_extract.extract(page) == f"Title\n{LONG}\nFirst point of it.\nSecond point.\n{LONG}"
+
+
+def test_text_beside_an_article_counts():
+    page = f"<body><div><article><p>{LONG}</p></article><div class='k2'><p>{LONG}</p><p>{LONG}</p></div><div class='k3'>Short.</div></div>"
+    assert html_extract.extract(page) == "\n".join([LONG] * 3)
+
+
 def test_pages(spark):
     got = {r.page_id: r for r in queries.op8_html_extraction(spark, SF_DIR).collect()}
     for r in table("pages"):
