@@ -46,12 +46,13 @@ FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbod
 #: Elements whose items in a row count as one block, and the items.
 LISTS = frozenset("ul ol dl table".split())
 ITEMS = frozenset("li dt dd td th".split())
-#: Words of class, id or role that name what is not main text.
+#: Words of class, id or role that name what is not main text: whole, or followed by "-" or "_" (but for switches
+#: of a whole page, such as comments-open).
 NOISE = re.compile(
-    r"(?:^|[\s_-])(ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|comments?|comment\w*|replies|respond|discussion|disqus\w*"
+    r"(?:^|\s)(ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|comments?|comment\w*|replies|respond|discussion|disqus\w*"
     r"|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social\w*|related"
     r"|recommend\w*|breadcrumbs?|menus?|nav\w*|footer\w*|header|masthead|toolbar|pagination|pager|widget\w*|search\w*|skip|tags?|toc"
-    r"|complementary|contentinfo|dialog|form|hidden)(?:$|[\s_-])",
+    r"|complementary|contentinfo|dialog|form|hidden)(?:$|\s|[_-](?!(?:open|closed|enabled|disabled|on|off)(?:$|\s)))",
     re.I,
 )
 #: Only the main text's own element may bear one of these and still be read.
@@ -72,10 +73,9 @@ class _Blocks(HTMLParser):
     pages cost no long tuples.
     """
 
-    def __init__(self, hints: bool = True):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.hints = hints  # whether class, id and role tell noise
-        self.stack: list[tuple[str, int, bool, bool]] = []  # (tag, path down to it, noise, link)
+        self.stack: list[tuple[str, int, bool, bool, int, bool]] = []  # (tag, path down to it, noise, link, hint, main)
         self.open: Counter = Counter()
         self.numbers: dict[tuple[int, str], int] = {}
         self.paths: list[tuple[int, str]] = [(-1, "")]
@@ -84,6 +84,12 @@ class _Blocks(HTMLParser):
         self.blocks: list[tuple[int, str, str]] = []
         self.noise = 0
         self.links = 0
+        # Elements whose names tell noise: the one around each, and whether a main element is in it. 0 is none.
+        self.hints: list[int] = [0]
+        self.holds: list[bool] = [False]
+        self.owners: list[int] = []  # of each block: its innermost such element
+        self.open_mains = 0  # open article and main elements whose names do not tell noise
+        self.main_text = False  # whether one had text
 
     def flush(self):
         text = SPACE.sub(" ", "".join(self.buffer)).strip()
@@ -91,11 +97,14 @@ class _Blocks(HTMLParser):
         self.buffer, self.unlinked = [], []
         if text and not self.noise:
             self.blocks.append((self.stack[-1][1] if self.stack else 0, text, own))
+            self.owners.append(self.stack[-1][4] if self.stack else 0)
+            self.main_text |= self.open_mains > 0
 
     def _pop(self, to: int):
         while len(self.stack) > to:
-            tag, _, noise, link = self.stack.pop()
+            tag, _, noise, link, _, main = self.stack.pop()
             self.open[tag] -= 1
+            self.open_mains -= main
             self.noise -= noise
             self.links -= link
 
@@ -119,7 +128,21 @@ class _Blocks(HTMLParser):
         named = dict(attrs)
         words = " ".join(filter(None, (named.get("class"), named.get("id"), named.get("role"))))
         noise = tag in NEVER or "hidden" in named or named.get("aria-hidden") == "true"
-        noise = noise or bool(self.hints and tag not in MAIN and words and NOISE.search(words))
+        told = bool(words and NOISE.search(words))
+        hint = self.stack[-1][4] if self.stack else 0
+        main = tag in ("article", "main") and not told and not self.noise and not noise
+        if main:
+            self.open_mains += 1
+            at = hint
+            while not self.holds[at]:
+                self.holds[at] = True
+                at = self.hints[at]
+        if told and tag not in MAIN and not noise and not self.noise:
+            if tag in INLINE:
+                self.flush()
+            self.hints.append(hint)
+            self.holds.append(False)
+            hint = len(self.hints) - 1
         if noise and tag in INLINE and not self.noise:
             self.flush()
         path = self.stack[-1][1] if self.stack else 0
@@ -130,7 +153,7 @@ class _Blocks(HTMLParser):
                 self.numbers[step] = path
                 self.paths.append(step)
         link = tag == "a" and "href" in named
-        self.stack.append((tag, path, noise, link))
+        self.stack.append((tag, path, noise, link, hint, main))
         self.open[tag] += 1
         self.noise += noise
         self.links += link
@@ -148,7 +171,7 @@ class _Blocks(HTMLParser):
             return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                if tag not in INLINE or self.stack[i][2]:
+                if tag not in INLINE or self.stack[i][2] or self.stack[i][4] != (self.stack[i - 1][4] if i else 0):
                     self.flush()
                 self._pop(i)
                 return
@@ -164,13 +187,24 @@ class _Blocks(HTMLParser):
 
 
 def _read(html: str) -> _Blocks:
-    for hints in (True, False):  # a page whose outermost element bears such a name is read without hints
-        page = _Blocks(hints)
-        page.feed(html)
-        page.close()
-        page.flush()
-        if page.blocks:
-            break
+    """The page without the blocks of elements whose names tell noise. Such a name does not count if a main element
+    is inside, or, on a page whose main elements have no text, most of the page's text; nor if nothing were left."""
+    page = _Blocks()
+    page.feed(html)
+    page.close()
+    page.flush()
+    size = [0] * len(page.hints)
+    for owner, (_, text, _) in zip(page.owners, page.blocks, strict=True):
+        size[owner] += len(text)
+    # An element is numbered after those around it.
+    for hint in range(len(size) - 1, 0, -1):
+        size[page.hints[hint]] += size[hint]
+    dropped = [False]
+    for hint in range(1, len(size)):
+        most = not page.main_text and 2 * size[hint] > size[0]
+        dropped.append(dropped[page.hints[hint]] or not (page.holds[hint] or most))
+    left = [block for owner, block in zip(page.owners, page.blocks, strict=True) if not dropped[owner]]
+    page.blocks = left or page.blocks
     return page
 
 

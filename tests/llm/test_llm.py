@@ -443,6 +443,15 @@ def test_text_beside_an_article_counts():
     assert html_extract.extract(page) == "\n".join([LONG] * 3)
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content no-sidebar", "page with-header", "elementor-widget-container", "post comments-open", "sidebar", "search-results"])
+def test_names_do_not_hide_the_text(name):
+    article = f"<article><p>{LONG}</p><p>{LONG}</p></article>"
+    comments = f"<div class='comments'><article class='comment'><p>{LONG} Mine.</p></article></div>"
+    assert html_extract.extract(f"<body><p>Site name</p><div class='{name}'>{article}{comments}</div></body>") == f"{LONG}\n{LONG}"
+    text = f"<div><p>{LONG}</p><p>{LONG}</p></div>"
+    assert html_extract.extract(f"<body><p>Site name</p><div class='{name}'>{text}</div><div class='sidebar-left'>{LONG}</div></body>") == f"{LONG}\n{LONG}"
+
+
 def test_pages(spark):
     got = {r.page_id: r for r in queries.op8_html_extraction(spark, SF_DIR).collect()}
     for r in table("pages"):
