@@ -11,8 +11,8 @@ n-grams that the language's landmarks know; how large that must be is set by lab
 other than themselves.
 
 The model is fitted on the driver from a bounded sample: at most ``SAMPLE_PER_LANGUAGE`` texts of each
-language (those of the smallest hash of doc_id, of at most ``SAMPLE_CHARS`` characters), so its size does not
-follow the corpus.
+language (those of the smallest hash of doc_id; texts of over ``SAMPLE_CHARS`` characters only where there are
+too few others), so its size follows the number of languages, not the corpus.
 """
 
 from __future__ import annotations
@@ -34,10 +34,8 @@ from relayspark.llm.common import python_ready
 GRAMS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 200
 LANDMARKS_PER_LANGUAGE = 32
-#: Longest text that is learned from.
+#: Longer texts are learned from only where a language has too few others.
 SAMPLE_CHARS = 20_000
-#: Most languages that are learned: those with the most labelled rows.
-MOST_LANGUAGES = 100
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: A text that no language claims by this score is rejected by ``accepted``.
@@ -197,18 +195,24 @@ def fit(labelled: list[tuple[str, str]]) -> Model | None:
     return model
 
 
-def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
-    """Fit on a bounded sample of the rows of ``docs`` (doc_id, text, lang) that are labelled and not held out."""
-    usable = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & ~is_held_out(F.col("doc_id"))
+def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> Model | None:
+    """Fit on a bounded sample of the rows of ``docs`` (doc_id, text, lang) that are labelled and not held out.
+
+    Every language is learned. Texts of over ``sample_chars`` characters come after all others of their language.
+    """
+    usable = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))
     rows = docs.where(usable).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    rows = rows.withColumn("long", F.length("text") > sample_chars)
+    counts = rows.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("long")).orderBy("lang").collect()
     if not counts:
         return None
     # First a share of each language by hash, about twice what is used; then the smallest hashes of those.
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], (2.0 * per_language + 40.0) / r["count"])])
-    some = rows.withColumn("u", unit).where(F.col("u") <= share[F.col("lang")])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
+    enough = lambda wanted, n: (2.0 * wanted + 40.0) / n if wanted > 0 and n else -1.0
+    short = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], enough(per_language, r["short"]))])
+    long = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], enough(per_language - r["short"], r["long"]))])
+    some = rows.withColumn("u", unit).where(F.col("u") <= F.when(F.col("long"), long[F.col("lang")]).otherwise(short[F.col("lang")]))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "u", "text"))
     sample = some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "rank", "text").collect()
     return fit([(r["text"], r["lang"]) for r in sorted(sample, key=lambda r: (r["lang"], r["rank"]))])
 

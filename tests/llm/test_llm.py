@@ -215,6 +215,13 @@ def test_texts_in_unlearned_languages_are_rejected(spark):
     assert language_id.accepted(language_id.classify(clean, model)).count() == clean.count() > 20
 
 
+def test_every_labelled_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 120)} only {i}", f"l{i % 120:03d}", "s", 1) for i in range(960)]
+    rows += [(i, "lange Texte allein " * 1_200, "long", "s", 1) for i in range(1_000, 1_008)]
+    model = language_id.train(spark.createDataFrame(rows, DOCS))
+    assert model.languages == [f"l{i:03d}" for i in range(120)] + ["long"]
+
+
 # -- 4 chat
 
 
