@@ -5,8 +5,9 @@ shared folder, each renamed into place when whole, so a task that runs twice lea
 
     magic, counts | boundary low bits | boundary high bits | select samples | document ids | token ids
 
-The boundaries (n + 1 rising offsets) take about 2 + log2(ids / documents) bits each. ``EliasFano.select``
-answers the i-th offset from the high bits and a sample of every 256th one, without a table of offsets.
+The boundaries (n + 1 rising offsets) take about 2 + log2(ids / documents) bits each. ``EliasFano.select_run``
+answers the i-th offset, and those behind it, from the high bits and a sample of every 256th one; readers
+take documents by it, a batch at a time, without a table of all offsets.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relayspark.llm.common import python_ready, shared_dir, written
-from relayspark.llm.encoding import encoder
+from relayspark.llm.common import BATCH_ROWS, python_ready, shared_dir, written
+from relayspark.llm.encoding import binary_array, encoder, with_end
 
 #: Fixed values of the file format.
 MAGIC = b"RSEFTOK1"
@@ -54,38 +55,31 @@ class EliasFano:
 
     def select(self, i: int) -> int:
         """The i-th value."""
-        at = int(self.samples[i // SAMPLE])
-        byte, rest = at >> 3, i % SAMPLE
-        skip, span = at & 7, 64
-        while True:
-            window = np.unpackbits(self.high[byte : byte + span], bitorder="little")[skip:]
-            ones = np.flatnonzero(window)
-            if len(ones) > rest:
-                break
-            span *= 2
-        upper = at + int(ones[rest]) - i
+        return int(self.select_run(i, 1)[0])
+
+    def select_run(self, i: int, n: int) -> np.ndarray:
+        """The i-th value and those behind it, ``n`` in all: only the high bits from the sample before the first
+        to the sample behind the last are read."""
+        at, last = int(self.samples[i // SAMPLE]), (i + n - 1) // SAMPLE + 1
+        stop = int(self.samples[last]) if last < len(self.samples) else 8 * len(self.high)
+        window = np.unpackbits(self.high[at >> 3 : (stop >> 3) + 1], bitorder="little")[at & 7 :]
+        index = np.arange(i, i + n, dtype=np.int64)
+        upper = at + np.flatnonzero(window)[index - i // SAMPLE * SAMPLE] - index
         first = i * self.low_bits
-        word = int.from_bytes(self.low[first >> 3 : ((first + self.low_bits) >> 3) + 1].tobytes(), "little")
-        return upper << self.low_bits | (word >> (first & 7)) & ((1 << self.low_bits) - 1)
-
-    def values(self) -> np.ndarray:
-        """All values."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        upper = ones - np.arange(self.n)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits]
-        lower = bits.reshape(self.n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+        end = first + n * self.low_bits
+        bits = np.unpackbits(self.low[first >> 3 : (end + 7) >> 3], bitorder="little")[first & 7 :][: end - first]
+        lower = bits.reshape(n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
         return (upper << self.low_bits) + lower
 
 
-def file_bytes(doc_ids: list[int | None], counts: list[int], ids: bytes, wide: bool) -> bytes:
-    """One file: ``ids`` are little-endian unsigned 32-bit ids, kept in 16 bits unless ``wide``."""
+def file_bytes(doc_ids: list[int | None] | pa.Array, counts: np.ndarray, tokens: np.ndarray) -> bytes:
+    """One file of the documents' ``tokens``, 16 or 32 bits each."""
+    names = doc_ids if isinstance(doc_ids, pa.Array) else pa.array(doc_ids, pa.int64())
     ef = EliasFano.encode(np.concatenate([[0], np.cumsum(np.asarray(counts, dtype=np.int64))]))
-    known = np.packbits(np.asarray([d is not None for d in doc_ids], dtype=np.uint8), bitorder="little")
-    keys = np.asarray([d or 0 for d in doc_ids], dtype="<i8")
-    tokens = np.frombuffer(ids, dtype="<u4")
-    body = tokens if wide else tokens.astype("<u2")
-    head = struct.pack(HEADER, MAGIC, len(doc_ids), len(tokens), 4 if wide else 2, ef.low_bits, len(ef.low), len(ef.high), len(ef.samples))
-    return b"".join([head, *(x.tobytes() for x in (ef.low, ef.high, ef.samples, known, keys, body))])
+    known = np.packbits(names.is_valid().to_numpy(zero_copy_only=False), bitorder="little")
+    keys = names.fill_null(0).to_numpy().astype("<i8")
+    head = struct.pack(HEADER, MAGIC, len(names), len(tokens), tokens.itemsize, ef.low_bits, len(ef.low), len(ef.high), len(ef.samples))
+    return b"".join([head, *(x.tobytes() for x in (ef.low, ef.high, ef.samples, known, keys, tokens))])
 
 
 class TokenFile:
@@ -106,11 +100,13 @@ class TokenFile:
         low, high, samples = take("u1", n_low), take("u1", n_high), take("<u4", n_samples)
         self.boundaries = EliasFano(n_docs + 1, low_bits, low, high, samples)
         known = np.unpackbits(take("u1", -(-n_docs // 8)), bitorder="little")[:n_docs]
-        self.doc_ids = [k if ok else None for k, ok in zip(take("<i8", n_docs).tolist(), known, strict=True)]
+        self.doc_ids = pa.array(take("<i8", n_docs), mask=known == 0)
         self.ids = take("<u4" if width == 4 else "<u2", n_ids)
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.boundaries.select(i) : self.boundaries.select(i + 1)]
+        """Ids of the i-th document."""
+        start, end = self.boundaries.select_run(i, 2)
+        return self.ids[start:end]
 
 
 def _store(uri: str):
@@ -123,38 +119,36 @@ def _store(uri: str):
 
 
 def _write(vocabulary: str, folder: str, end_id: int, file_ids: int):
-    end = np.asarray([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         enc = encoder(vocabulary)
-        wide = enc.tokenizer.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
+        kind = "<u4" if enc.wide or end_id >= 1 << 16 else "<u2"
         store, root = _store(folder)
         keys, counts, bodies, made, before, held = [], [], [], [], 0, 0
 
         def flush():
             nonlocal keys, counts, bodies, before, held
             path = f"{root}/part-{part:06d}-{len(made):06d}.tok"
+            names = pa.concat_arrays(keys)
             with store.open_output_stream(f"{path}.{attempt}.tmp") as out:
-                out.write(file_bytes(keys, counts, b"".join(bodies), wide))
+                out.write(file_bytes(names, np.concatenate(counts), np.concatenate(bodies)))
             store.move(f"{path}.{attempt}.tmp", path)
-            made.append((part, len(made), path, len(keys), held, before))
+            made.append((part, len(made), path, len(names), held, before))
             before += held
             keys, counts, bodies, held = [], [], [], 0
 
         for batch in batches:
-            texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for name, ids in zip(names, enc.encode_all(texts), strict=True):
-                if held and held + len(ids) // 4 + 1 > file_ids:
-                    flush()
-                keys.append(name)
-                bodies += [ids, end]
-                counts.append(len(ids) // 4 + 1)
-                held += counts[-1]
-        if keys:
+            ids, sizes = with_end(*enc.encode_column(batch.column("text")), end_id, kind)
+            keys.append(batch.column("doc_id"))
+            counts.append(sizes)
+            bodies.append(ids)
+            held += len(ids)
+            if held >= file_ids:
+                flush()
+        if held:
             flush()
         columns = list(zip(*made, strict=True)) or [[]] * 6
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -171,18 +165,13 @@ def _read(folder: str):
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 with store.open_input_file(path) as source:
                     got = TokenFile(source.readall())
-                bounds = got.boundaries.values()
-                for at in range(0, len(got.doc_ids), 1000):
-                    some = bounds[at : at + 1001]
-                    ids = [got.ids[a:b].astype("<u4").tobytes() for a, b in zip(some[:-1], some[1:], strict=True)]
+                for at in range(0, len(got.doc_ids), BATCH_ROWS):
+                    names = got.doc_ids.slice(at, BATCH_ROWS)
+                    bounds = got.boundaries.select_run(at, len(names) + 1)
+                    sizes = np.diff(bounds)
+                    ids = binary_array(got.ids[bounds[0] : bounds[-1]].astype("<u4"), sizes).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(got.doc_ids[at : at + 1000], pa.int64()),
-                            pa.array(some[:-1] + base, pa.int64()),
-                            pa.array(np.diff(some), pa.int64()),
-                            pa.array(ids, pa.binary()),
-                        ],
-                        ["doc_id", "start", "n_tokens", "ids"],
+                        [names, pa.array(bounds[:-1] + base), pa.array(sizes), ids], ["doc_id", "start", "n_tokens", "ids"]
                     )
 
     return run
@@ -192,7 +181,9 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int = END_ID, file_ids
     """Write the files; their folder and a manifest with one row per file.
 
     ``docs`` needs ``doc_id`` and ``text``. Documents lie in ascending ``doc_id`` order over all files, null
-    ids first, equal ids by text; a null or empty text is the end id alone. An empty table gives no files.
+    ids first, equal ids by a hash of their text (so rows of one id, or of none, spread over the writers; only
+    rows that are the same in both lie in one range). A null or empty text is the end id alone. An empty table
+    gives no files.
     """
     spark = docs.sparkSession
     python_ready(spark)
@@ -200,7 +191,8 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int = END_ID, file_ids
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    place = ("doc_id", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(*place).sortWithinPartitions(*place, "text")
     return folder, written(ordered.mapInArrow(_write(vocabulary, folder, end_id, file_ids), MANIFEST), "manifest")
 
 

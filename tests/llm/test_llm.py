@@ -13,7 +13,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from relayspark.llm import (
     chat_format,
@@ -299,11 +299,23 @@ def test_pieces_give_the_ids_of_whole_texts(name):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + ["", None]
     plain = [p for p in parts if "<" not in p] + ["Word", "é", "ȳ", "ab", "9", "#", "can't", "-", "_", "|>", "<", "ſ", "K", "İ"]
     texts += ["".join(rng.choice(plain) for _ in range(rng.randint(0, 25))) for _ in range(6000)]
+    odd = [*plain, "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u200b", "”", "’", "…", "é", "ŉ", "×", "ÿ", "Ab1", "'S", "'ll", "\x00", "\x7f", "'", "’s", " \u0301", "\u0338"]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(0, 25))) for _ in range(9000)]
     enc = encoder(queries.vocabulary(name))
+    assert enc.cuts
     want = [np.asarray(x.ids, dtype="<u4").tobytes() for x in enc.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert enc.encode_all(texts) == want and enc.encode_all(texts[::-1]) == want[::-1]
 
 
+def test_an_unknown_pre_tokeniser_gets_whole_texts(tmp_path):
+    made = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    made.pre_tokenizer = pre_tokenizers.Metaspace()
+    made.save(str(tmp_path / "own.json"))
+    enc = encoder(str(tmp_path / "own.json"))
+    texts = ["a b, c", None, "", "it's  two"]
+    assert enc.cuts is None and enc.encode_all(texts) == [np.asarray(made.encode(t or "").ids, dtype="<u4").tobytes() for t in texts]
+
+
 def test_tree_places_as_a_scan_does():
     rng = random.Random(5)
     sizes = [rng.randint(1, 100) for _ in range(400)]
@@ -342,7 +354,7 @@ def test_packing_covers_every_id(spark):
 
 def test_packing_edges(spark, odd, none):
     path = queries.vocabulary("word_bpe_49k.json")
-    got = packing.pack(odd, path, group_docs=3)
+    got = packing.pack(odd, path, group_ids=300)
     assert got.select("doc_id").distinct().count() == 9 and got.where("start = 0").count() == len(ODD)
     assert packing.pack(none, path).count() == 0
     whole = packing.sequences(got).collect()
@@ -350,21 +362,52 @@ def test_packing_edges(spark, odd, none):
     assert sum(r.tokens for r in whole) == got.agg(F.sum("length")).first()[0]
 
 
+def test_hot_ids_and_long_texts_are_spread(spark):
+    rows = [(None if i % 3 else 7, f"text {i} " * (i % 9)) for i in range(3000)] + [(None, None)] * 50 + [(8, "long text, really " * 40_000)]
+    docs = frame(spark, rows).repartition(6)
+    pieces = packing.pack(docs, queries.vocabulary("word_bpe_49k.json"), group_ids=50_000).collect()
+    bins = collections.defaultdict(list)
+    for r in pieces:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for held in bins.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = sum(r.length for r in pieces)
+    assert total > 0.97 * 2048 * len(bins) and sum(r.start == 0 for r in pieces) == len(rows)
+    assert total == sum(r.doc_tokens for r in pieces if r.start == 0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    folder, manifest = token_files.write_files(docs, queries.vocabulary("byte_bpe_50k.json"), file_ids=5000)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = manifest.collect()
+    assert len({f.part for f in files}) > 1 and max(f.n_docs for f in files) < len(rows) / 2
+    back = sorted(token_files.read_files(folder, manifest).collect(), key=lambda r: r.start)
+    assert len(back) == len(rows) and all(a.start + a.n_tokens == b.start for a, b in zip(back, back[1:], strict=False))
+    key = lambda x: (x is not None, x)
+    assert [r.doc_id for r in back] == sorted((i for i, _ in rows), key=key)
+
+
 def test_elias_fano_selects():
     rng = random.Random(7)
     for n, top in ((1, 0), (1, 9), (1000, 10), (1000, 10**6), (700, 0), (5000, 10**9)):
         values = np.sort(np.asarray([rng.randint(0, top) for _ in range(n)]))
         ef = token_files.EliasFano.encode(values)
-        assert ef.values().tolist() == values.tolist()
+        assert ef.select_run(0, n).tolist() == values.tolist()
         assert [ef.select(i) for i in range(n)] == values.tolist()
+        for _ in range(50):
+            i = rng.randrange(n)
+            many = rng.randint(1, n - i)
+            assert ef.select_run(i, many).tolist() == values[i : i + many].tolist()
         assert len(ef.low) + len(ef.high) <= n * (2 + max(1, (top // n).bit_length())) / 8 + 16
 
 
 def test_file_gives_documents_back():
-    ids = np.arange(70, dtype="<u4")
-    for wide in (False, True):
-        got = token_files.TokenFile(token_files.file_bytes([None, 3, 5], [10, 0, 60], ids.tobytes(), wide))
-        assert got.doc_ids == [None, 3, 5] and [got.document(i).tolist() for i in range(3)] == [ids[:10].tolist(), [], ids[10:].tolist()]
+    for kind in ("<u2", "<u4"):
+        ids = np.arange(70, dtype=kind)
+        got = token_files.TokenFile(token_files.file_bytes([None, 3, 5], [10, 0, 60], ids))
+        assert got.doc_ids.to_pylist() == [None, 3, 5] and [got.document(i).tolist() for i in range(3)] == [ids[:10].tolist(), [], ids[10:].tolist()]
     with pytest.raises(ValueError):
         token_files.TokenFile(b"x" * 100)
 
