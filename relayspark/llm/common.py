@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +78,57 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is made once a row however often ``body`` and its lambdas read it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Numbers of an array that ``running`` takes together.
+RUN = 128
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column] = lambda a, b: a + b, start: int = 0) -> Column:
+    """For each int of an array, ``merge`` of ``start`` and all ints before it. Appending to an array copies it, so
+    blocks are merged first, then each block on its own: about n * RUN / 2 copies for n ints, and few for most."""
+    first = F.lit(start).cast("int")
+
+    def scan(items: Column, begin: Column) -> Column:
+        states = F.aggregate(items, F.array(begin).cast("array<int>"), lambda a, x: F.array_append(a, merge(F.element_at(a, -1), x).cast("int")))
+        return F.slice(states, F.lit(1), F.size(items))
+
+    def blocks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda b: F.slice(v, b * RUN + 1, F.lit(RUN)))
+
+    def by_block(parts: Column) -> Column:
+        totals = F.transform(parts, lambda x: F.aggregate(x, first, lambda a, v: merge(a, v).cast("int")))
+        return let(scan(totals, first), lambda bases: F.flatten(F.transform(parts, lambda x, k: scan(x, F.get(bases, k)))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), by_block)).otherwise(F.array().cast("array<int>")))
+
+
+#: Code points of the pieces that ``pieces_of`` cuts a text into.
+PIECE = 1024
+
+
+def pieces_of(text: Column) -> Column:
+    """A text as pieces of ``PIECE`` code points: a place deep in a long text is found without counting from its
+    start each time."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def between(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` (from 0) to before ``end`` of a text that ``pieces_of`` has cut."""
+    a, b = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    rest = (start % PIECE + 1).cast("int")
+    one = F.substring(F.get(pieces, a), rest, (end - start).cast("int"))
+    many = F.concat(
+        F.substring(F.get(pieces, a), rest, F.lit(PIECE)),
+        F.array_join(F.slice(pieces, a + 2, b - a - 1), ""),
+        F.substring(F.coalesce(F.get(pieces, b), F.lit("")), F.lit(1), (end % PIECE).cast("int")),
+    )
+    return F.when(start >= end, F.lit("")).when(a == b, one).otherwise(many)
+
+
 def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` (cheap to count) has a proven size below ``limit``."""
     return df.count() * row_bytes <= limit
