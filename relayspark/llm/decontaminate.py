@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relayspark.llm.common import ascii_lower, small_side, written
+from relayspark.llm.common import ascii_lower, fits_broadcast, let, small_side, written
 
 WINDOW = 10
 STRIDE = 5
@@ -80,8 +80,22 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride: int =
         each = F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.slice("w", i, length).alias("words")))
         return F.when(F.size("w") >= length, each).otherwise(F.array().cast("array<struct<at:int,words:array<string>>>"))
 
-    taken = close.select("doc_id", "same", F.explode(F.flatten(F.array(*map(spans, lengths)))).alias("x")).select("doc_id", "same", "x.at", "x.words")
-    hit = taken.join(small_side(grams, 512), "words").select("doc_id", "same", "at", "n", "ids")
+    key = F.expr("doc_id <=> d and same = s")
+    if fits_broadcast(grams, 512):
+        taken = close.select("doc_id", "same", F.explode(F.flatten(F.array(*map(spans, lengths)))).alias("x"))
+        hit = taken.select("doc_id", "same", "x.at", "x.words").join(F.broadcast(grams), "words").select("doc_id", "same", "at", "n", "ids")
+    else:
+        # Windows go to a large benchmark by their hashes; the words of those that meet are then compared.
+        def hashes(length: int) -> Column:
+            each = F.transform(spans(length), lambda x: F.struct(x["at"].alias("at"), F.lit(length).alias("n"), F.xxhash64(x["words"]).alias("h")))
+            return each.cast("array<struct<at:int,n:int,h:bigint>>")
+
+        taken = close.select("doc_id", "same", F.explode(F.flatten(F.array(*map(hashes, lengths)))).alias("x")).select("doc_id", "same", "x.at", "x.n", "x.h")
+        named = grams.select(F.xxhash64("words").alias("h"), "words", "n", "ids")
+        met = written(taken.join(named, ["h", "n"]), "met")
+        spots = met.groupBy(F.col("doc_id").alias("d"), F.col("same").alias("s")).agg(F.collect_list(F.struct("at", "n", "words", "ids")).alias("m"))
+        sure = F.filter("m", lambda m: F.slice("w", m["at"] + 1, m["n"]) == m["words"])
+        hit = close.join(spots, key).select("doc_id", "same", F.explode(sure).alias("m")).select("doc_id", "same", "m.at", "m.n", "m.ids")
     by_text = hit.groupBy("doc_id", "same").agg(
         F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))).alias("p"),
         F.array_distinct(F.flatten(F.collect_set("ids"))).alias("i"),
@@ -112,28 +126,45 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
 
 
+def _rebuilt(x: Column) -> Column:
+    """A text without its hit words: from its words ``w``, the gaps around them ``g`` and the numbers of the hit words
+    in order ``p``. A gap goes if the words on both its sides are hit."""
+    # Each gap with the word behind it, and the runs of hit words: the first of each, and the last.
+    glued = F.zip_with(x["g"], x["w"], lambda g, w: F.concat(g, F.coalesce(w, F.lit(""))))
+    heads = F.filter(x["p"], lambda n, i: (i == 0) | (F.get(x["p"], i - 1) != n - 1))
+    tails = F.filter(x["p"], lambda n, i: (i == F.size(x["p"]) - 1) | (F.get(x["p"], i + 1) != n + 1))
+
+    def joined(y: Column) -> Column:
+        # What stays lies behind one run and before the next, with the gap before that.
+        after = F.concat(F.array(F.lit(-1)), y["tails"])
+        upto = F.concat(y["heads"], F.array(F.size(y["glued"]) - 1))
+        stays = F.zip_with(after, upto, lambda a, b: F.concat(F.array_join(F.slice(y["glued"], a + 2, b - a - 1), ""), F.get(x["g"], b)))
+        return F.array_join(stays, "")
+
+    return let(F.struct(glued.alias("glued"), heads.alias("heads"), tails.alias("tails")), joined)
+
+
 def without_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most: float = 0.5) -> DataFrame:
     """``docs`` without benchmark passages: hit words and the gaps between them go from the text, and a
-    document of which more than ``most`` of the words are hit goes as a whole. Clean rows stay as they are.
-    ``n_chars``, if there, is set anew. Other columns and their order are kept."""
+    document of which more than ``most`` of the words are hit goes as a whole.
+
+    Clean rows stay as they are, null, empty and wordless texts among them; rows of one ``doc_id`` are judged each by
+    its own text, and repeated rows alike. ``n_chars``, if there, is set anew for rows that change. All columns and
+    their order are kept. An empty benchmark changes nothing; an empty table stays empty."""
     found = hits(docs, items, window).select(F.col("doc_id").alias("__d"), F.col("same").alias("__s"), F.col("positions").alias("__p"))
     text = F.col("text").cast("string")
     joined = docs.join(small_side(found, 4096), (F.col("doc_id").eqNullSafe(F.col("__d"))) & (F.md5(text.cast("binary")) == F.col("__s")), "left")
     hit = F.col("__p").isNotNull()
-    parts = joined.withColumn("__w", F.when(hit, F.regexp_extract_all(text, F.lit(WORD_OR_UPPER), F.lit(0)))).withColumn("__g", F.when(hit, F.split(text, WORD_OR_UPPER, -1)))
-    # Gaps lie around the words; one stays unless the words on both its sides are hit. Arrays that a lambda
-    # reads are columns of an earlier step (and read twice), so that they are made once a row.
-    inside = lambda i: (i > 0) & (i <= F.size("__w")) & F.array_contains("__p", i - 1)
-    parts = parts.withColumn("__f", F.when(hit, F.transform(F.sequence(F.lit(0), F.size("__w") + 1), inside)))
-    rebuilt = F.array_join(F.transform(
-        F.sequence(F.lit(0), F.size("__g") - 1),
-        lambda i: F.concat(
-            F.when(F.get("__f", i) & F.get("__f", i + 1), F.lit("")).otherwise(F.get("__g", i)),
-            F.when((i >= F.size("__w")) | F.get("__f", i + 1), F.lit("")).otherwise(F.get("__w", i)),
-        ),
-    ), "")
-    cleaned = parts.where(F.col("__p").isNull() | (F.size("__p") <= most * F.size("__w")))
-    cleaned = cleaned.withColumn("text", F.when(hit, rebuilt).otherwise(F.col("text")))
+    split = F.struct(
+        F.regexp_extract_all(text, F.lit(WORD_OR_UPPER), F.lit(0)).alias("w"),
+        F.split(text, WORD_OR_UPPER, -1).alias("g"),
+        F.col("__p").alias("p"),
+    )
+    too_many = lambda x: F.size(x["p"]) > most * F.size(x["w"])
+    made = let(split, lambda x: F.when(too_many(x), F.lit(None)).otherwise(_rebuilt(x)))
+    # Null stands for a document that goes; clean rows keep their text, null or not.
+    cleaned = joined.withColumn("__new", F.when(hit, made)).where(F.col("__p").isNull() | F.col("__new").isNotNull())
+    cleaned = cleaned.withColumn("text", F.when(hit, F.col("__new")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cleaned.select(*docs.columns)
