@@ -1,10 +1,12 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and its edge cases."""
 
 import collections
+import contextlib
 import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -52,6 +54,14 @@ def frame(spark, texts, extra=False):
     return df
 
 
+@contextlib.contextmanager
+def timed(limit):
+    """Fails if what it is around takes longer than ``limit`` seconds: far less than a square of its size would."""
+    began = time.monotonic()
+    yield
+    assert time.monotonic() - began < limit
+
+
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, "..."), (6, "word " * 30_000), (None, "no id at all"), (7, "é" * 50), (8, "one")]
 
 
@@ -627,3 +637,88 @@ def test_allow_list_and_masks(spark, none):
     assert clean[1].text == "key [SECRET] end" and clean[1].n_chars == 16
     assert clean[4].text == 'token = "[SECRET]" [SECRET]' and clean[5].text is None and clean[2].text == texts[1][1]
     assert secret_scan.scan(none).count() == 0
+
+
+def brute_entropy(text, base):
+    """Spans of random strings, by windows counted one by one."""
+    out = []
+    for m in re.finditer(secret_scan.CANDIDATE, text or ""):
+        value = m[0]
+        if re.search(secret_scan.ALLOWED, value):
+            continue
+        bits = secret_scan.HEX_BITS if re.fullmatch("[0-9a-fA-F]+", value) else secret_scan.MIXED_BITS
+        if re.search(secret_scan.SAMPLE, value):
+            value = "/".join(p for p in re.split("[/=]", value) if not re.search(secret_scan.SAMPLE, p))
+            if re.search(secret_scan.ALLOWED, value):
+                continue
+        best = 0.0
+        for k in range(len(value) - secret_scan.WINDOW + 1):
+            count = collections.Counter(value[k : k + secret_scan.WINDOW])
+            best = max(best, -sum(c / secret_scan.WINDOW * np.log2(c / secret_scan.WINDOW) for c in count.values()))
+        if best >= bits - 1e-9 and not any(a <= m.start() and m.end() <= b for a, b in base):
+            out.append((m.start(), 3, f"entropy:{m.start()}:{m.end()}"))
+    return out
+
+
+def test_all_spans_and_masks_equal_brute_force(spark):
+    rng = random.Random(12)
+    made = lambda n, among=secret_scan.ALPHABET: "".join(rng.choice(among) for _ in range(n))
+    bits = [lambda: "token=" + made(24), lambda: made(30), lambda: made(26, "0123456789abcdef"), lambda: "AKIA" + made(20, "ABCXYZ0189"), lambda: "/sample/" + made(25, "aB3xZ9qL"), lambda: "plain-words-of-a-slug-here", lambda: " ", lambda: "é🙂 ", lambda: "sk-" + made(8) + made(24, "0123456789abcdef") + "-" + made(9), lambda: "example" + made(20)]
+    docs = [(i, "".join(rng.choice(bits)() + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 12)))) for i in range(150)]
+    docs += [(1000, "🙂" * 5000 + " token=abcdef1 " * 900), (1001, "x" * 1024 + "password: hunter2" + "y" * 1007 + " secret=abcdefg")]
+    rows = frame(spark, docs)
+    got = {r.doc_id: r.text for r in secret_scan.scan(rows).select("doc_id", secret_scan.spans_text(F.col("found")).alias("text")).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(rows).collect()}
+    for i, text in docs:
+        base = [(m.start(), r, f"{k}:{m.start()}:{m.end()}", m.start(g) if g else m.start(), m.end()) for r, (k, p, n, g) in enumerate(KINDS) for m in p.finditer(text) if len(m[g]) >= n]
+        more = brute_entropy(text, [(s[0], s[4]) for s in base])
+        assert got[i] == ",".join(s[2] for s in sorted([b[:3] for b in base] + more))
+        out, at = [], 0
+        for start, end in sorted([(b[3], b[4]) for b in base] + [(m[0], int(m[2].split(":")[2])) for m in more]):
+            if start >= at:
+                out += [text[at:start], "[SECRET]"]
+            at = max(at, end)
+        assert clean[i] == "".join(out) + text[at:]
+
+
+def test_forty_thousand_secrets_in_one_text(spark):
+    docs = frame(spark, [(1, "token=abcdef1 " * 40_000), (2, "q9Xv2LmR7tYk4WzB8nHs3pDf, " * 8_000), (3, "q9Xv2LmR7tYk4WzB8nHs3pDf" * 2_000)])
+    with timed(60):
+        got = {r.doc_id: r.n for r in secret_scan.scan(docs).select("doc_id", F.size("found").alias("n")).collect()}
+        assert got == {1: 40_000, 2: 8_000, 3: 1}
+        clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+        assert clean == {1: "token=[SECRET] " * 40_000, 2: "[SECRET], " * 8_000, 3: "[SECRET]"}
+
+
+def test_long_texts_lose_passages_in_linear_time(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    long = " ".join(f"c{i}" for i in range(200_000))
+    docs = frame(spark, [(1, f"{long} {passage}"), (2, f"{passage}, {long}! {passage} " * 2 + "end"), (3, (passage + " x y z a b c d e f g h i j k l. ") * 10_000)])
+    with timed(60):
+        got = {r.doc_id: r.text for r in decontaminate.without_hits(docs, bench).collect()}
+    assert got == {1: f"{long} ", 2: f", {long}! , {long}!  end", 3: " x y z a b c d e f g h i j k l. " * 10_000}
+
+
+def test_large_benchmarks_meet_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "fits_broadcast", lambda *_: False)
+    test_hits_equal_brute_force(spark)
+
+
+EVENTS = "conv_id long, turn long, seq long, event string, role string, text string"
+
+
+def test_roles_of_any_characters_come_back(spark):
+    roles = ["a\x00b", "\x00", "\\", "\\\\n", "\\\n", "\n\\n", "a\\\x00\n", "<|im_end|>\n", "<\\|", "\r\t", "🙂￾", *[chr(c) for c in range(1, 300)]]
+    rows = [(1, t, t, "message", r, "x") for t, r in enumerate(roles)]
+    back = sorted(chat_format.read_back(chat_format.render(chat_format.reconstruct(spark.createDataFrame(rows, EVENTS)))).collect(), key=lambda r: r.part)
+    assert [m.role for p in back for m in p.messages] == roles
+
+
+def test_long_turns_fold_in_linear_time(spark):
+    rows = [(1, 1, s, "message" if s % 2 == 0 else "delta", "assistant", f"text {s} ") for s in range(60_000)]
+    rows += [(2, 1, s, "message" if s == 0 else "edit" if s == 50_000 else "delta", "assistant", f"{s} ") for s in range(60_000)]
+    with timed(60):
+        back = {r.conv_id: r for r in chat_format.read_back(chat_format.render(chat_format.reconstruct(spark.createDataFrame(rows, EVENTS)))).collect()}
+    assert [m.text for m in back[1].messages] == back[1].scored == [f"text {s} text {s + 1} " for s in range(0, 60_000, 2)]
+    assert back[2].scored == ["".join(f"{s} " for s in range(50_000, 60_000))]
