@@ -15,9 +15,11 @@ NOT_SYMBOL = r"[^#*$%&|<>]+"
 
 #: A line must end with one of these, and may hold symbols up to this share of its characters.
 LINE_END = r"[.!?:;,…。！？\"'”’»)\]][\x20\x09-\x0D]*$"
+ENDS, BLANKS = ".!?:;,…。！？\"'”’»)]", " \t\n\x0b\x0c\r"
 SYMBOL_SHARE = 0.1
 #: Navigation: parts of a menu joined by separators, in lines of few words.
 MENU = r"(\||»|›|•|·|>).*(\||»|›|•|·|>)"
+SEPARATOR = "[|»›•·>]"
 MENU_WORDS = 12
 #: Boilerplate phrases, matched in any case.
 BOILERPLATE = (
@@ -37,11 +39,13 @@ def _empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line with words passes the punctuation, navigation and boilerplate rules."""
-    symbols = F.length(F.regexp_replace(line, NOT_SYMBOL, ""))
+def line_passes(line: Column, symbols: Column, menus: Column) -> Column:
+    """Whether a line with words passes the punctuation, navigation and boilerplate rules. The other columns say
+    whether its text holds symbols and separators of menus at all."""
+    ended = F.instr(F.lit(ENDS), F.right(F.rtrim(line, F.lit(BLANKS)), F.lit(1))) > 0  # LINE_END, but faster
+    marked = F.length(F.regexp_replace(line, NOT_SYMBOL, "")) > SYMBOL_SHARE * F.length(line)
     menu = line.rlike(MENU) & (F.size(F.split(F.trim(line), SPACE)) <= MENU_WORDS)
-    return line.rlike(LINE_END) & (symbols <= SYMBOL_SHARE * F.length(line)) & ~menu & ~line.rlike(BOILERPLATE)
+    return ended & ~(symbols & marked) & ~(menus & menu) & ~line.rlike(BOILERPLATE)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -51,7 +55,8 @@ def judge(docs: DataFrame) -> DataFrame:
     are neither judged nor kept. Equal rows get equal verdicts; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    inner = F.btrim(text, F.lit(BLANKS))
+    words = F.when(inner == "", _empty("string")).otherwise(F.split(inner, SPACE))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NOT_SPACE))
     rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", words.alias("w"), lines.alias("lines"))
 
@@ -68,12 +73,13 @@ def judge(docs: DataFrame) -> DataFrame:
     ends = F.concat(F.slice("p", F.lit(2), F.size("p")), F.array(F.element_at("p", -1) + WINDOW))
     covered = F.aggregate(F.zip_with("p", ends, lambda a, b: F.least(b - a, F.lit(WINDOW))), F.lit(0), lambda a, x: a + x)
 
-    good = F.filter("lines", line_passes)
+    rows = rows.withColumn("n_symbols", F.length(F.regexp_replace("text", NOT_SYMBOL, ""))).withColumn("menus", F.col("text").rlike(SEPARATOR))
+    good = F.filter("lines", lambda x: line_passes(x, F.col("n_symbols") > 0, F.col("menus")))
     counted = rows.withColumn("good", good).select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("text", NOT_SYMBOL, "")).cast("long").alias("n_symbols"),
+        F.col("n_symbols").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("p").isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"),
         (F.size("lines") - F.size("good")).cast("long").alias("n_lines_removed"),
