@@ -49,7 +49,7 @@ ITEMS = frozenset("li dt dd td th".split())
 #: Words of class, id or role that name what is not main text: whole, or followed by "-" or "_" (but for switches
 #: of a whole page, such as comments-open).
 NOISE = re.compile(
-    r"(?:^|\s)(ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|comments?|comment\w*|replies|respond|discussion|disqus\w*"
+    r"(?:^|\s)(ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|comments?|commentlists?|comment(?:er|form|box|area|section)s?|replies|respond|discussion|disqus\w*"
     r"|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social\w*|related"
     r"|recommend\w*|breadcrumbs?|menus?|nav\w*|footer\w*|header|masthead|toolbar|pagination|pager|widget\w*|search\w*|skip|tags?|toc"
     r"|complementary|contentinfo|dialog|form|hidden)(?:$|\s|[_-](?!(?:open|closed|enabled|disabled|on|off)(?:$|\s)))",
@@ -59,6 +59,7 @@ NOISE = re.compile(
 MAIN = frozenset(["article", "main", "body", "html"])
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？¡¿]")
 SPACE = re.compile(r"\s+")
+UNENDED = re.compile(r"<[!?/A-Za-z]")
 #: A path is content if its fused score reaches this share of the best path's.
 THRESHOLD = 0.2
 #: The part of a path's ratios that is its container's mean, and how an article or main element weighs.
@@ -76,7 +77,9 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool, bool, int, bool]] = []  # (tag, path down to it, noise, link, hint, main)
-        self.open: Counter = Counter()
+        # Places in the stack: of the open elements of each tag, and of all that are not inline.
+        self.places: dict[str, list[int]] = {}
+        self.outer: list[int] = []
         self.numbers: dict[tuple[int, str], int] = {}
         self.paths: list[tuple[int, str]] = [(-1, "")]
         self.buffer: list[str] = []
@@ -103,7 +106,9 @@ class _Blocks(HTMLParser):
     def _pop(self, to: int):
         while len(self.stack) > to:
             tag, _, noise, link, _, main = self.stack.pop()
-            self.open[tag] -= 1
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.outer.pop()
             self.open_mains -= main
             self.noise -= noise
             self.links -= link
@@ -118,12 +123,12 @@ class _Blocks(HTMLParser):
             return
         if tag not in INLINE:
             self.flush()
-            for i in range(len(self.stack) - 1, -1, -1):
+            for i in reversed(self.outer):
                 open_tag = self.stack[i][0]
-                if open_tag in CLOSES and tag in CLOSES[open_tag]:
+                if tag in CLOSES.get(open_tag, ()):
                     self._pop(i)
                     break
-                if open_tag not in INLINE and open_tag not in CLOSES:
+                if open_tag not in CLOSES:
                     break
         named = dict(attrs)
         words = " ".join(filter(None, (named.get("class"), named.get("id"), named.get("role"))))
@@ -153,8 +158,10 @@ class _Blocks(HTMLParser):
                 self.numbers[step] = path
                 self.paths.append(step)
         link = tag == "a" and "href" in named
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.outer.append(len(self.stack))
         self.stack.append((tag, path, noise, link, hint, main))
-        self.open[tag] += 1
         self.noise += noise
         self.links += link
 
@@ -167,16 +174,17 @@ class _Blocks(HTMLParser):
         if tag == "br":
             self.handle_data("\n")
             return
-        if not self.open[tag]:
-            return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                if tag not in INLINE or self.stack[i][2] or self.stack[i][4] != (self.stack[i - 1][4] if i else 0):
-                    self.flush()
-                self._pop(i)
-                return
-            if tag in INLINE and self.stack[i][0] not in INLINE:
-                return  # a stray end tag of an inline element
+        if not self.places.get(tag) or (tag in INLINE and self.outer and self.outer[-1] > self.places[tag][-1]):
+            return  # nothing that it could end
+        i = self.places[tag][-1]
+        if tag not in INLINE or self.stack[i][2] or self.stack[i][4] != (self.stack[i - 1][4] if i else 0):
+            self.flush()
+        self._pop(i)
+
+    def close(self):
+        if UNENDED.match(self.rawdata):
+            self.rawdata = ""  # a tag or comment that nothing ends goes on to the end of the page
+        super().close()
 
     def handle_data(self, data):
         if self.noise:

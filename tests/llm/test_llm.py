@@ -512,6 +512,24 @@ def test_names_do_not_hide_the_text(name):
     assert html_extract.extract(f"<body><p>Site name</p><div class='{name}'>{text}</div><div class='sidebar-left'>{LONG}</div></body>") == f"{LONG}\n{LONG}"
 
 
+def test_odd_markup_is_no_text():
+    text = f"<article><p>{LONG}</p><p>{LONG}</p>%s</article>"
+    both = f"{LONG}\n{LONG}"
+    assert html_extract.extract(text.replace("%s</article>", "<!-- open <p>tail, which is long. And so on, and on.</p>")) == both
+    assert html_extract.extract(text % f"<div class='commentary'><p>{LONG}</p></div>") == f"{both}\n{LONG}"
+    for name in ("comment", "comments", "comment-body", "comment_list", "commentlist"):
+        assert html_extract.extract(text % f"<div class='{name}'><p>{LONG}</p></div>") == both
+    assert html_extract.extract("<body><p>Foot, a.</p>" + (text % "").join(["<div class='layout with-sidebar'>", "</div>"])) == both
+    assert html_extract.extract(f"<p>{LONG}</p><p>{LONG} <b class='x") == f"{LONG}\n{LONG}"
+    assert html_extract.extract(f"<p>{LONG}<i>a</b></i> b</p>") == f"{LONG}a b"
+
+
+def test_tags_that_nothing_closes_take_linear_time():
+    with timed(20):
+        for page in ("<b><p>x, y.</p>" * 40_000, "<b><p>" + "<i>" * 40_000 + "x, y.</b>" * 40_000, "<div>" * 30_000 + "x, y." + "</span>" * 30_000, "<li><p>x, y." * 40_000, "<!-- " * 50_000, "<" * 50_000 + "p>x"):
+            html_extract.extract(page)
+
+
 def test_pages(spark):
     got = {r.page_id: r for r in queries.op8_html_extraction(spark, SF_DIR).collect()}
     for r in table("pages"):
