@@ -35,6 +35,8 @@ BLOCK_CLASSES = 256
 BLOCK_SHINGLES = 400_000
 #: Pairs of a block whose overlaps are counted at once.
 _SIGN_CHUNK = 1 << 14
+#: The bit that tells negative numbers; turned round, numbers sort as their bytes do.
+_SIGN = -(1 << 63)
 
 
 def _first(x: np.ndarray) -> np.ndarray:
@@ -183,7 +185,7 @@ def _confirm(percent: int):
     """Links between the rows of a cell: side 0 with side 0 and with side 1 (side 1 is not compared with itself)."""
 
     def run(table: pa.Table) -> pa.Table:
-        names = table.column("class").to_pylist()
+        names = table.column("node").to_pylist()
         sides = table.column("side").to_pylist()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("body").to_pylist()]
         zero = [i for i, s in enumerate(sides) if s == 0]
@@ -204,7 +206,7 @@ def _confirm(percent: int):
 
 
 def _cells(rows: DataFrame, percent: int) -> DataFrame:
-    return rows.select("cluster", "cell", "side", "class", "body").groupBy("cluster", "cell").applyInArrow(
+    return rows.select("cluster", "cell", "side", "node", "body").groupBy("cluster", "cell").applyInArrow(
         _confirm(percent), "a binary, b binary"
     )
 
@@ -225,30 +227,44 @@ def signed(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) ->
     return texts.mapInArrow(_sign(width, bands, rows), SIGNED)
 
 
+def node_of(doc_id: Column, name: Column) -> Column:
+    """A class, or one row of it, as a node of the graph: binaries that sort by ``doc_id`` (null last), then by the
+    class. So the smallest node of a component tells the smallest ``doc_id`` in it, without another join."""
+    number = F.lpad(F.hex(F.coalesce(doc_id, F.lit(0)).cast("long").bitwiseXOR(F.lit(_SIGN))), 16, "0")
+    return F.unhex(F.concat(F.when(doc_id.isNull(), "01").otherwise("00"), number, F.hex(name)))
+
+
+def doc_of(node: Column) -> Column:
+    number = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN))
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", number)
+
+
 def clusters_of(classes: DataFrame) -> DataFrame:
-    """(class, cluster) of the classes that share a bucket with another."""
-    keys = classes.select("class", F.explode("bands").alias("bucket"))
-    heads = keys.groupBy("bucket").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = keys.join(heads, "bucket").where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
-    return connected_components(edges.distinct()).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+    """(node, cluster) of the classes (node, bands) that share a bucket with another."""
+    keys = classes.select("node", F.explode("bands").alias("bucket"))
+    heads = keys.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join reads plain tables and a bucket of very many classes can be split.
+    edges = keys.join(written(heads.drop("n"), "heads"), "bucket").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return connected_components(edges.distinct()).select("node", F.col("component").alias("cluster"))
 
 
 def grouped(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, row_key, n_shingles, component and component_id for each row of ``docs`` (``doc_id``, ``text``;
-    others ignored). ``component`` names the row's group of linked texts; it is null for an empty set."""
+    """doc_id, row_key, n_shingles, own, root and shared for each row of ``docs`` (``doc_id``, ``text``; others
+    ignored). ``own`` is the row's node and ``root`` the smallest node of its group of linked texts; both are null
+    for an empty set. ``shared`` says whether another row may be in the group."""
     sign = written(signed(docs, width, bands, rows), "signed")
-    full = sign.where("class is not null")
-    cluster = clusters_of(full.groupBy("class").agg(F.first("bands").alias("bands")))
-    sized = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    links = _links(docs, written(sized.join(cluster, "class"), "clustered"), width, percent)
-    joined = connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("joined"))
-    # A class without links is a component of its own.
-    of_row = sign.join(joined, "class", "left").withColumn("component", F.coalesce("joined", "class"))
-    of_row = of_row.select("doc_id", "row_key", "n_shingles", "component")
-    lowest = of_row.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    return of_row.join(lowest, "component", "left").select(
-        "doc_id", "row_key", "n_shingles", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id")
-    )
+    first = (F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("times"))
+    classes = sign.where("class is not null").groupBy("class").agg(*first)
+    classes = written(classes.withColumn("node", node_of(F.col("doc_id"), F.col("class"))), "classes")
+    members = written(classes.select("node", "class", "doc_id", "n").join(clusters_of(classes), "node"), "clustered")
+    joined = connected_components(_links(docs, members, width, percent))
+    # One row of each class that others are with. Rows meet it by their class; copies of one text, however many,
+    # are split there, as both sides are plain shuffles.
+    found = classes.select("class", "node", "times").join(joined, "node", "left").where("times > 1 or component is not null")
+    roots = written(found.select("class", F.coalesce("component", "node").alias("root")), "roots")
+    own = node_of(F.col("doc_id"), F.col("class"))
+    out = sign.drop("bands").join(roots, "class", "left").withColumn("own", F.when(F.col("class").isNotNull(), own))
+    return out.select("doc_id", "row_key", "n_shingles", "own", F.coalesce("root", "own").alias("root"), F.col("root").isNotNull().alias("shared"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -261,22 +277,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     ``component_id``; where all of a group are null, so is its component, and all are kept. An empty table
     gives no rows.
     """
+    lowest = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(doc_of(F.col("root")))
+    found = grouped(docs, width, percent, bands, rows).withColumn("component_id", lowest)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return grouped(docs, width, percent, bands, rows).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of the smallest ``doc_id`` (ties: by text; a
-    null id comes first). Null and wordless texts belong to no group, and all stay. Columns stay as they are."""
-    rows = written(grouped(docs, width, percent).where("component is not null").groupBy("component", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("times")), "grouped")
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
-    marked = rows.join(first, "component").withColumn("stays", F.struct("doc_id", "row_key").eqNullSafe(F.col("first")))
+    """``docs`` with one row of each group of near copies: that of the smallest ``doc_id`` (ties: by class and text; a
+    null id comes last). Null and wordless texts belong to no group, and all stay. Repeated rows leave one. Columns
+    stay as they are; an empty table stays empty."""
+    rows = grouped(docs, width, percent).where("shared").groupBy("root", "own", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("times"))
+    rows = written(rows, "grouped")
+    # The smallest node is one row, unless rows share id and set of shingles.
+    first = rows.where("own = root").groupBy("root").agg(F.min("row_key").alias("first"))
+    heads = rows.where("own = root").join(first, "root")
+    ids = (F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"))
+    gone = rows.where("own <> root").select(*ids).unionByName(heads.where("row_key <> first").select(*ids))
     same = F.expr("doc_id <=> __id and __key <=> __row")
     keyed = docs.withColumn("__key", row_key(F.col("text")))
-    ids = (F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"))
-    left = keyed.join(small_side(marked.where("not stays").select(*ids), 40), same, "left_anti")
+    left = keyed.join(small_side(written(gone, "gone"), 40), same, "left_anti")
     # Rows that are repeated as a whole leave one.
-    again = written(marked.where("stays and times > 1").select(*ids), "repeated")
+    again = written(heads.where("row_key = first and times > 1").select(*ids), "repeated")
     if not again.isEmpty():
         again = small_side(again, 40)
         once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__key"])
@@ -284,13 +306,18 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     return left.select(*docs.columns)
 
 
-def _links(docs: DataFrame, sized: DataFrame, width: int, percent: int) -> DataFrame:
+def _in_blocks() -> Column:
+    """Blocks that the classes of a cluster need."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+
+
+def _links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between classes; enough of them to give the components of all."""
-    totals = sized.groupBy("cluster").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = sized.join(totals.select("cluster", blocks.alias("blocks")), "cluster")
+    # One row for each cluster, in a table of its own, so a cluster of very many classes can be split in the join.
+    totals = written(members.groupBy("cluster").agg(_in_blocks().alias("blocks")), "totals")
+    placed = members.join(totals, "cluster")
     # One text of each class that lies in a cluster; ids may repeat or be null, so the class decides.
-    wanted = small_side(sized.select(F.col("doc_id").alias("rep")).distinct(), 16)
+    wanted = small_side(members.select(F.col("doc_id").alias("rep")).distinct(), 16)
     bodies = (
         _texts(docs).join(wanted, F.expr("doc_id <=> rep"), "left_semi")
         .select("text")
@@ -298,8 +325,8 @@ def _links(docs: DataFrame, sized: DataFrame, width: int, percent: int) -> DataF
         .where("class is not null")
     )
     full = bodies.join(placed, "class").dropDuplicates(["class"])
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    full = written(full.select("cluster", "blocks", "class", "body", block.alias("block")), "sets")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    full = written(full.select("cluster", "blocks", "node", "n", "body", block.alias("block")), "sets")
 
     # First: each block with itself and with block 0, the hub.
     own = full.select("*", F.lit(0).alias("side"), F.col("block").cast("string").alias("cell"))
@@ -310,15 +337,16 @@ def _links(docs: DataFrame, sized: DataFrame, width: int, percent: int) -> DataF
     large = full.where("blocks > 1")
     if large.isEmpty():
         return first
-    reached = connected_components(first).select(F.col("node").alias("class"), F.col("component"))
-    large = large.join(reached, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    most = large.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    large = large.join(most, "cluster")
+    reached = connected_components(first)
+    large = large.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = large.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("many"))
+    most = written(sizes.groupBy("cluster").agg(F.max_by("component", F.struct("many", "component")).alias("main")), "main")
+    large = large.join(small_side(most, 64), "cluster")
     rest = large.where("component <> main")
-    counts = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("parts"))
-    rest = rest.join(counts, "cluster").withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), F.col("parts")).cast("int"))
+    counts = small_side(written(rest.groupBy("cluster").agg(_in_blocks().alias("parts")), "rest"), 40)
+    rest = rest.join(counts, "cluster").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     cell = F.concat_ws("/", "part", "block")
     left = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.lit(0).alias("side"), cell.alias("cell"))
     right = large.join(counts, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("*", F.lit(1).alias("side"), cell.alias("cell"))
-    columns = ["cluster", "cell", "side", "class", "body"]
+    columns = ["cluster", "cell", "side", "node", "body"]
     return first.unionByName(written(_cells(left.select(columns).unionByName(right.select(columns)), percent), "links"))

@@ -596,6 +596,27 @@ def test_query_equals_brute_force(spark):
     assert sorted(map(tuple, queries.op9_minhash(spark, SF_DIR).collect())) == brute_components(docs, 4)
 
 
+def test_bands_miss_no_similar_pair():
+    rng = random.Random(90)
+    sets = []
+    for _ in range(400):
+        n = rng.choice([5, 9, 40, 200])
+        base = [rng.getrandbits(64) for _ in range(n)]
+        # As different as a link allows: 4 of 5 of the union are shared.
+        other = base[: n - n // 9] + [rng.getrandbits(64) for _ in range(n // 9)]
+        sets += [np.unique(np.asarray(x, dtype=np.uint64)) for x in (base, other)]
+    keys = minhash.band_keys(minhash.signatures(sets, minhash.BANDS * minhash.ROWS), minhash.BANDS, minhash.ROWS)
+    met = (keys[::2] == keys[1::2]).any(axis=1)
+    assert met.all()
+
+
+def test_nodes_sort_by_id(spark):
+    ids = [None, 0, 1, -1, 9, 255, 256, 2**63 - 1, -(2**63), 10**12]
+    rows = spark.createDataFrame([(i, bytearray(b"c" * 16)) for i in ids], "doc_id long, name binary")
+    got = rows.select("doc_id", minhash.node_of(F.col("doc_id"), F.col("name")).alias("node")).withColumn("back", minhash.doc_of(F.col("node"))).orderBy("node").collect()
+    assert [r.doc_id for r in got] == sorted(i for i in ids if i is not None) + [None] == [r.back for r in got]
+
+
 def test_shift_gives_every_coordinate():
     values = np.asarray([1, 5, 77], dtype=np.uint64)
     made = minhash.signatures([values, values[:1]], 8)
