@@ -68,15 +68,15 @@ def assign(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS, weigh
     """``df`` with ``slot`` and ``shard`` (an index into ``shards``) by a broadcast of the table; no shuffle.
 
     Rows with a null key go to the owner of slot 0. Equal keys go to the same shard. Columns of ``df`` that
-    are named ``slot`` or ``shard`` are replaced. An empty table stays empty.
+    are named ``slot`` or ``shard`` are replaced, also where one of them is the key. An empty table stays empty.
     """
     table = F.broadcast(table_frame(df.sparkSession, shards, slots, weights))
-    return df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots)).join(table, "slot")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
+    return df.select(*kept, slot_of(F.col(f"`{key}`"), slots).alias("slot")).join(table, "slot")
 
 
-def write_shards(df: DataFrame, path: str, key: str, shards: list[str], files_per_shard: int = 8) -> None:
-    """Write ``df`` with a folder for each shard. Rows are salted over ``files_per_shard`` tasks for each
-    shard, so a key that holds a large part of the rows does not end up in one task."""
-    out = assign(df, key, shards)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_shard)).alias("salt")
-    out.select("*", salt).repartition("shard", "salt").drop("salt").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, key: str, shards: list[str]) -> None:
+    """Write ``df`` with a folder for each shard; null keys and repeated rows as ``assign`` has them, no folder for an
+    empty shard. Rows meet by shard, and Spark splits a shard that is much larger than others between tasks by where
+    its rows come from, so neither a hot key nor a hot row ends up in one."""
+    assign(df, key, shards).hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
