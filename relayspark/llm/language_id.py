@@ -4,7 +4,7 @@ The kernel of two texts compares which character n-grams (all lengths of ``GRAMS
 present in both: for each length the cosine of the presence vectors, averaged. Nyström landmarks, a few texts
 of each language, stand for the training set; one-versus-rest kernel ridge regression on the kernel values
 against them gives a weight for each landmark and language. A batch of texts is scored by two matrix
-products: presence against landmarks, and kernel values against weights.
+products: presence against landmarks (both sparse), and kernel values against weights.
 
 Those scores only say which language is nearest. Whether a text is in it at all is told by the share of its
 n-grams that the language's landmarks know; how large that must be is set by labelled texts against landmarks
@@ -12,7 +12,8 @@ other than themselves.
 
 The model is fitted on the driver from a bounded sample: at most ``SAMPLE_PER_LANGUAGE`` texts of each
 language (those of the smallest hash of doc_id; texts of over ``SAMPLE_CHARS`` characters only where there are
-too few others), so its size follows the number of languages, not the corpus.
+too few others), of which ``LANDMARKS`` in all are landmarks, so its size follows the number of languages, not
+the corpus.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from relayspark.llm.common import python_ready
 GRAMS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 200
 LANDMARKS_PER_LANGUAGE = 32
+#: Landmarks in all: with more languages than a part of this each has fewer, one at least.
+LANDMARKS = 2048
 #: Longer texts are learned from only where a language has too few others.
 SAMPLE_CHARS = 20_000
 RIDGE = 1e-3
@@ -95,17 +98,26 @@ def _clean(text: str | None) -> str:
 
 @dataclass
 class Model:
-    """``features`` are hashes by length of n-gram; ``landmarks`` their presence, scaled; ``weights`` by language;
-    ``holders`` the number of landmarks of each language that have a feature, up to 2; ``least`` the share of a text's
-    n-grams that a language has to know."""
+    """Features are hashes of n-grams, by length, that some landmark has. The landmarks' presence of them is sparse:
+    feature f is held by the landmarks ``held[bounds[f]:bounds[f + 1]]``, each of which has ``sizes[k]`` features of
+    the k-th length. ``weights`` are by landmark and language, ``owner`` has each landmark's language, and ``least``
+    the share of a text's n-grams that a language has to know. All of it grows with the landmarks, not with languages
+    times features."""
 
     languages: list[str]
     features: list[np.ndarray]
-    landmarks: np.ndarray
+    bounds: np.ndarray
+    held: np.ndarray
+    sizes: np.ndarray
+    owner: np.ndarray
     weights: np.ndarray
-    holders: np.ndarray
     least: np.ndarray
 
+    def __post_init__(self):
+        # How many landmarks of a language hold a feature, for the pairs where any does.
+        feature = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        self.pairs, self.holders = np.unique(feature * len(self.languages) + self.owner[self.held], return_counts=True)
+
     def tables(self) -> list[np.ndarray]:
         out, at = [], 0
         for found in self.features:
@@ -115,21 +127,25 @@ class Model:
             out.append(table)
         return out
 
-    def presence(self, texts: list[str], tables: list[np.ndarray]) -> np.ndarray:
-        """One row for each text; each length of n-gram has unit norm over their number."""
-        bounds = np.cumsum([0] + [len(f) for f in self.features])
-        out = np.zeros((len(texts), int(bounds[-1])), dtype=np.float32)
+    def kernel(self, texts: list[str], tables: list[np.ndarray]) -> np.ndarray:
+        """Texts by landmarks: for each length of n-gram the cosine of the presence vectors over the features,
+        averaged. A product of two sparse matrices, made a batch at a time."""
+        marks = len(self.owner)
+        out = np.zeros((len(texts), marks))
         for k, row, hashed, _ in _hashed(texts):
             place = tables[k][hashed]
-            known = place >= 0
-            out[row[known], place[known]] = 1
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            norm = np.sqrt(out[:, a:b].sum(axis=1, keepdims=True) * len(GRAMS))
-            out[:, a:b] /= np.maximum(norm, 1)
+            both = np.unique(row[place >= 0] << 32 | place[place >= 0])  # each n-gram once a text
+            row, place = both >> 32, both & 0xFFFFFFFF
+            size = np.bincount(row, minlength=len(texts))
+            many = self.bounds[place + 1] - self.bounds[place]
+            ends = np.cumsum(many)
+            spot = np.repeat(self.bounds[place] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
+            shared = np.bincount(np.repeat(row * marks, many) + self.held[spot], minlength=len(texts) * marks).reshape(len(texts), marks)
+            out += shared / np.sqrt(np.maximum(size[:, None] * self.sizes[k][None, :], 1)) / len(GRAMS)
         return out
 
     def scores(self, texts: list[str], tables: list[np.ndarray]) -> np.ndarray:
-        return (self.presence(texts, tables) @ self.landmarks.T) @ self.weights
+        return self.kernel(texts, tables) @ self.weights
 
     def known(self, texts: list[str], tables: list[np.ndarray], language: np.ndarray, holders: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What at least ``holders`` landmarks of each text's ``language`` know of its n-grams of letters: the share
@@ -137,7 +153,9 @@ class Model:
         share, number, total = (np.zeros(len(texts)) for _ in range(3))
         for k, row, hashed, pure in _hashed(texts):
             row, place = row[pure], tables[k][hashed[pure]]
-            hit = (place >= 0) & (self.holders[place, language[row]] >= holders)
+            pair = place.astype(np.int64) * len(self.languages) + language[row]
+            spot = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            hit = (place >= 0) & (self.pairs[spot] == pair) & (self.holders[spot] >= holders)
             size = np.bincount(row, minlength=len(texts))
             part = np.bincount(row[hit], minlength=len(texts)) / np.maximum(size, 1)
             share, number, total = np.where(size > 0, part, share), np.where(size > 0, size, number), total + part
@@ -150,47 +168,45 @@ class Model:
         return (share + FORGIVEN / np.maximum(number, 1) >= self.least[language]) & (mean > 0), mean
 
 
-def fit(labelled: list[tuple[str, str]]) -> Model | None:
+def fit(labelled: list[tuple[str, str]], landmarks: int = LANDMARKS) -> Model | None:
     """A model from (text, language) pairs; None without any."""
     labelled = [(_clean(text), lang) for text, lang in labelled if text and _LETTER.search(text)]
     languages = sorted({lang for _, lang in labelled})
     if not languages:
         return None
-    chosen: list[str] = []
-    others: list[str] = []
-    chosen_own: list[int] = []
-    others_own: list[int] = []
-    for k, lang in enumerate(languages):
-        texts = [text for text, own in labelled if own == lang]
-        chosen += texts[:LANDMARKS_PER_LANGUAGE]
-        others += texts[LANDMARKS_PER_LANGUAGE:]
-        chosen_own += [k] * len(texts[:LANDMARKS_PER_LANGUAGE])
-        others_own += [k] * len(texts[LANDMARKS_PER_LANGUAGE:])
-    found: list[list[np.ndarray]] = [[] for _ in GRAMS]
-    for text in chosen:
-        for k, _, hashed, _ in _hashed([text]):
-            found[k].append(np.unique(hashed))
-    features = [np.unique(np.concatenate(f)) if f else np.zeros(0, dtype=np.int64) for f in found]
-    holders = np.zeros((sum(map(len, features)), len(languages)), dtype=np.uint8)
-    model = Model(languages, features, np.zeros((0, 0)), np.zeros((0, 0)), holders, np.full(len(languages), LEAST_KNOWN))
+    number = {lang: k for k, lang in enumerate(languages)}
+    own = np.asarray([number[lang] for _, lang in labelled])
+    each = max(1, min(LANDMARKS_PER_LANGUAGE, landmarks // len(languages)))
+    order = np.argsort(own, kind="stable")
+    nth = np.arange(len(own)) - np.searchsorted(own[order], own[order])
+    chosen = order[nth < each]
+    # The chosen texts' features, and which of the texts hold each.
+    features, holds = [], []
+    sizes = np.zeros((len(GRAMS), len(chosen)))
+    for k in range(len(GRAMS)):
+        sets = [next((np.unique(h) for at, _, h, _ in _hashed([labelled[i][0]]) if at == k), np.zeros(0, dtype=np.int64)) for i in chosen.tolist()]
+        sizes[k] = [len(x) for x in sets]
+        found, place = np.unique(np.concatenate(sets), return_inverse=True)
+        before = sum(map(len, features))
+        features.append(found)
+        holds.append((place + before, np.repeat(np.arange(len(chosen)), sizes[k].astype(np.int64))))
+    feature, mark = (np.concatenate(x) for x in zip(*holds, strict=True))
+    held = mark[np.argsort(feature, kind="stable")]
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(feature, minlength=sum(map(len, features))))])
+    least = np.full(len(languages), LEAST_KNOWN)
+    model = Model(languages, features, bounds, held, sizes, own[chosen], np.zeros((len(chosen), len(languages))), least)
     tables = model.tables()
-    model.landmarks = model.presence(chosen, tables)
-    kernel = np.concatenate([model.presence([text], tables) @ model.landmarks.T for text, _ in labelled]).astype(np.float64)
-    between = (model.landmarks @ model.landmarks.T).astype(np.float64)
-    own = np.asarray([languages.index(lang) for _, lang in labelled])
+    kernel = np.concatenate([model.kernel([text], tables) for text, _ in labelled])
     target = np.where(own[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # Each language counts alike, however many rows it has.
     share = 1.0 / np.bincount(own)[own]
-    left = kernel.T @ (kernel * share[:, None]) + RIDGE * between + 1e-9 * np.eye(len(chosen))
-    model.weights = np.linalg.solve(left, kernel.T @ (target * share[:, None])).astype(np.float32)
-    model.landmarks = model.landmarks.astype(np.float32)
-    for k, row in zip(chosen_own, model.landmarks, strict=True):
-        model.holders[row > 0, k] = np.minimum(model.holders[row > 0, k] + 1, 2)
+    left = kernel.T @ (kernel * share[:, None]) + RIDGE * kernel[chosen] + 1e-9 * np.eye(len(chosen))
+    model.weights = np.linalg.solve(left, kernel.T @ (target * share[:, None]))
     # A landmark knows its own n-grams; so for landmarks another one has to know them, too.
+    marked = set(chosen.tolist())
     shares: list[list[float]] = [[] for _ in languages]
-    for texts, owners, least in ((chosen, chosen_own, 2), (others, others_own, 1)):
-        for text, k in zip(texts, owners, strict=True):
-            shares[k].append(float(model.known([text], tables, np.asarray([k]), least)[0][0]))
+    for i, (text, _) in enumerate(labelled):
+        shares[own[i]].append(float(model.known([text], tables, own[i : i + 1], 2 if i in marked else 1)[0][0]))
     model.least = np.asarray([min(LEAST_KNOWN, KNOWN_PART * float(np.quantile(x, KNOWN_QUANTILE))) for x in shares])
     return model
 

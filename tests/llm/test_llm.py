@@ -125,6 +125,13 @@ def test_sharding_edges(spark, odd, none, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(ODD)
 
 
+def test_the_key_may_be_a_column_that_is_replaced(spark):
+    rows = spark.createDataFrame([(f"k{i % 5}", i) for i in range(20)], "shard string, slot long")
+    want = {r.k: (r.slot, r.shard) for r in sharding.assign(rows.select(F.col("shard").alias("k")), "k", ["a", "b", "c"]).collect()}
+    assert {(r.slot, r.shard) for r in sharding.assign(rows, "shard", ["a", "b", "c"]).collect()} == set(want.values())
+    assert sharding.assign(rows, "slot", ["a", "b", "c"]).count() == 20
+
+
 # -- 2 decontamination
 
 
@@ -189,8 +196,43 @@ def test_kernel_is_the_mean_cosine_of_presence():
     grams = lambda t, n: {t[i : i + n] for i in range(len(t) - n + 1)}
     known = [set().union(*(grams(t, n) for t in ("abc abd", "abe", "zzz zz"))) for n in language_id.GRAMS]
     value = sum(len((a := grams("abx", n) & known[n - 1]) & (b := grams("abe", n))) / max(1e-9, (len(a) * len(b)) ** 0.5) for n in language_id.GRAMS) / 3
-    kernel = model.presence(["abx"], model.tables()) @ model.landmarks.T
-    assert kernel[0, 1] == pytest.approx(value, abs=1e-5)
+    assert model.languages == ["x", "y"] and model.owner.tolist() == [0, 0, 1]
+    kernel = model.kernel(["q", "abx"], model.tables())
+    assert kernel[1, 1] == pytest.approx(value, abs=1e-9)
+
+
+def test_predictions_equal_brute_force():
+    rng = random.Random(3)
+    letters = {"x": "abcde", "y": "cdefg", "z": "xyzab"}
+    text = lambda lang: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(4, 12)))
+    labelled = [(text(lang), lang) for lang in "xyz" for _ in range(40)]
+    model = language_id.fit(labelled)
+    grams = lambda t, n: {t[i : i + n] for i in range(len(t) - n + 1)}
+    marks = [t for lang in "xyz" for t in [t for t, own in labelled if own == lang][: language_id.LANDMARKS_PER_LANGUAGE]]
+    every = {n: set().union(*(grams(t, n) for t in marks)) for n in language_id.GRAMS}
+
+    def kernel(a, b):
+        return sum(len(grams(a, n) & grams(b, n)) / max(1, len(grams(a, n) & every[n]) * len(grams(b, n))) ** 0.5 for n in language_id.GRAMS) / len(language_id.GRAMS)
+
+    rows = np.asarray([[kernel(t, m) for m in marks] for t, _ in labelled])
+    among = np.asarray([[kernel(t, m) for m in marks] for t in marks])
+    target = np.asarray([[1.0 if own == lang else -1.0 for lang in "xyz"] for _, own in labelled]) / 40
+    weights = np.linalg.solve(rows.T @ rows / 40 + language_id.RIDGE * among + 1e-9 * np.eye(len(marks)), rows.T @ target)
+    asked = [text(lang) for lang in "xyz" for _ in range(30)]
+    want = np.asarray([[kernel(t, m) for m in marks] for t in asked]) @ weights
+    got = model.scores(asked, model.tables())
+    assert np.allclose(got, want, atol=1e-6) and (got.argmax(axis=1) == want.argmax(axis=1)).all()
+
+
+def test_many_languages_stay_small():
+    rng = random.Random(31)
+    chars = [chr(c) for c in range(0x4E00, 0x4E00 + 6000)]
+    labelled = [("".join(rng.choice(chars[20 * k : 20 * k + 60]) for _ in range(400)), f"l{k:03d}") for k in range(150) for _ in range(10)]
+    model = language_id.fit(labelled, landmarks=300)
+    assert len(model.owner) == 300 and len(model.languages) == 150
+    asked = ["".join(rng.choice(chars[20 * k : 20 * k + 60]) for _ in range(200)) for k in range(150)]
+    assert (model.scores(asked, model.tables()).argmax(axis=1) == np.arange(150)).mean() > 0.95
+    assert sum(x.nbytes for x in (model.bounds, model.held, model.pairs, model.holders, model.weights)) < 64 << 20
 
 
 def test_language_edges(spark, odd, none):
