@@ -9,7 +9,7 @@ from relayspark.llm.common import discard, stored
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for each node of ``edges`` (a, b); the component is its smallest node.
+    """(node, component) for each node of ``edges`` (a, b; binaries); the component is its smallest node.
 
     Each round points the edges of every node at its smallest neighbour (larger neighbours first, then
     smaller ones), which halves the length of paths; the edge table is written to the shared folder between
@@ -34,14 +34,21 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components have not settled")
 
 
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (u, ...) with the ``m`` of their node u. The key is spelt another way, so that both sides are dealt out
+    for the join alone: then a node with very many edges can be split between tasks."""
+    key = lambda df: df.withColumn("key", F.concat("u", F.lit(b"")))
+    return key(edges).join(key(least).drop("u"), "key").drop("key")
+
+
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """Join each node's neighbours that are larger (or smaller) than it to the smallest node around it."""
     if larger:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b"), F.col("a")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = edges.withColumnRenamed("a", "u").join(least, "u").select(F.col("m"), F.col("b").alias("w"))
+        joined = _met(edges.select(F.col("a").alias("u"), F.col("b").alias("w")), least).select("m", "w")
     else:
         least = edges.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        moved = edges.select(F.col("b").alias("u"), F.col("a").alias("w")).join(least, "u")
+        moved = _met(edges.select(F.col("b").alias("u"), F.col("a").alias("w")), least)
         joined = moved.select("m", "w").unionAll(moved.select("m", F.col("u").alias("w")))
     return joined.where("m <> w").select(F.least("m", "w").alias("a"), F.greatest("m", "w").alias("b")).distinct()

@@ -39,6 +39,8 @@ LANDMARKS_PER_LANGUAGE = 32
 LANDMARKS = 2048
 #: Longer texts are learned from only where a language has too few others.
 SAMPLE_CHARS = 20_000
+#: Most numbers (features by landmarks) that a worker holds as a dense matrix: 64 MB.
+DENSE = 1 << 24
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: A text that no language claims by this score is rejected by ``accepted``.
@@ -117,6 +119,19 @@ class Model:
         # How many landmarks of a language hold a feature, for the pairs where any does.
         feature = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
         self.pairs, self.holders = np.unique(feature * len(self.languages) + self.owner[self.held], return_counts=True)
+        self.whole = None
+        if (len(self.bounds) - 1) * len(self.languages) <= DENSE:
+            self.whole = np.zeros((len(self.bounds) - 1) * len(self.languages), dtype=np.uint8)
+            self.whole[self.pairs] = np.minimum(self.holders, 255)
+
+    def _holders(self, feature: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """How many of a language's landmarks hold a feature (-1 is none): from the pairs, or from a table of all where
+        that is small."""
+        pair = feature * len(self.languages) + language
+        if self.whole is not None:
+            return np.where(feature >= 0, self.whole[pair], 0)
+        spot = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[spot] == pair, self.holders[spot], 0)
 
     def tables(self) -> list[np.ndarray]:
         out, at = [], 0
@@ -127,45 +142,68 @@ class Model:
             out.append(table)
         return out
 
-    def kernel(self, texts: list[str], tables: list[np.ndarray]) -> np.ndarray:
-        """Texts by landmarks: for each length of n-gram the cosine of the presence vectors over the features,
-        averaged. A product of two sparse matrices, made a batch at a time."""
+    def dense(self) -> list[np.ndarray] | None:
+        """The landmarks' presence by length of n-gram, features by landmarks, scaled; None if it has more than
+        ``DENSE`` numbers."""
         marks = len(self.owner)
-        out = np.zeros((len(texts), marks))
-        for k, row, hashed, _ in _hashed(texts):
+        if (len(self.bounds) - 1) * marks > DENSE:
+            return None
+        out, at = [], 0
+        for k, found in enumerate(self.features):
+            part = np.zeros((len(found), marks), dtype=np.float32)
+            ends = self.bounds[at : at + len(found) + 1]
+            part[np.repeat(np.arange(len(found)), np.diff(ends)), self.held[ends[0] : ends[-1]]] = 1
+            out.append(part / np.sqrt(np.maximum(self.sizes[k], 1)).astype(np.float32))
+            at += len(found)
+        return out
+
+    def kernel(self, grams: list[tuple], n: int, tables: list[np.ndarray], dense: list[np.ndarray] | None = None) -> np.ndarray:
+        """``n`` texts by landmarks: for each length of n-gram the cosine of the presence vectors over the features,
+        averaged. A matrix product, made a batch at a time: of dense parts if there are any, else of sparse ones,
+        which many landmarks need. ``grams`` are the texts' n-grams."""
+        marks = len(self.owner)
+        out = np.zeros((n, marks))
+        before = np.cumsum([0, *map(len, self.features)])
+        for k, row, hashed, _ in grams:
             place = tables[k][hashed]
-            both = np.unique(row[place >= 0] << 32 | place[place >= 0])  # each n-gram once a text
+            row, place = row[place >= 0], place[place >= 0]
+            if dense is not None:
+                part = np.zeros((n, len(self.features[k])), dtype=np.float32)
+                part[row, place - before[k]] = 1
+                size = np.maximum(part.sum(axis=1, keepdims=True), 1)
+                out += (part @ dense[k]) / (np.sqrt(size) * len(GRAMS))
+                continue
+            both = np.unique(row << 32 | place)  # each n-gram once a text
             row, place = both >> 32, both & 0xFFFFFFFF
-            size = np.bincount(row, minlength=len(texts))
+            size = np.bincount(row, minlength=n)
             many = self.bounds[place + 1] - self.bounds[place]
             ends = np.cumsum(many)
             spot = np.repeat(self.bounds[place] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
-            shared = np.bincount(np.repeat(row * marks, many) + self.held[spot], minlength=len(texts) * marks).reshape(len(texts), marks)
+            shared = np.bincount(np.repeat(row * marks, many) + self.held[spot], minlength=n * marks).reshape(n, marks)
             out += shared / np.sqrt(np.maximum(size[:, None] * self.sizes[k][None, :], 1)) / len(GRAMS)
         return out
 
-    def scores(self, texts: list[str], tables: list[np.ndarray]) -> np.ndarray:
-        return self.kernel(texts, tables) @ self.weights
-
-    def known(self, texts: list[str], tables: list[np.ndarray], language: np.ndarray, holders: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def known(self, grams: list[tuple], n: int, tables: list[np.ndarray], language: np.ndarray, holders: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What at least ``holders`` landmarks of each text's ``language`` know of its n-grams of letters: the share
         of the longest n-grams that it has, the number of those, and the mean share over all lengths."""
-        share, number, total = (np.zeros(len(texts)) for _ in range(3))
-        for k, row, hashed, pure in _hashed(texts):
+        share, number, total = (np.zeros(n) for _ in range(3))
+        for k, row, hashed, pure in grams:
             row, place = row[pure], tables[k][hashed[pure]]
-            pair = place.astype(np.int64) * len(self.languages) + language[row]
-            spot = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            hit = (place >= 0) & (self.pairs[spot] == pair) & (self.holders[spot] >= holders)
-            size = np.bincount(row, minlength=len(texts))
-            part = np.bincount(row[hit], minlength=len(texts)) / np.maximum(size, 1)
+            hit = (place >= 0) & (self._holders(place.astype(np.int64), language[row]) >= holders)
+            size = np.bincount(row, minlength=n)
+            part = np.bincount(row[hit], minlength=n) / np.maximum(size, 1)
             share, number, total = np.where(size > 0, part, share), np.where(size > 0, size, number), total + part
         return share, number, total / len(GRAMS)
 
-    def members(self, texts: list[str], tables: list[np.ndarray], language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each text is in its ``language``, and its mean known share. A short unknown
-        word is forgiven, but a text of which nothing is known is in no language."""
-        share, number, mean = self.known(texts, tables, language)
-        return (share + FORGIVEN / np.maximum(number, 1) >= self.least[language]) & (mean > 0), mean
+    def predict(self, texts: list[str], tables: list[np.ndarray], dense: list[np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+        """For each text its nearest language, that language's score, whether the text is in it, and its mean known
+        share. A short unknown word is forgiven, but a text of which nothing is known is in no language."""
+        grams = list(_hashed(texts))
+        scores = self.kernel(grams, len(texts), tables, dense) @ self.weights
+        best = scores.argmax(axis=1)
+        share, number, mean = self.known(grams, len(texts), tables, best)
+        inside = (share + FORGIVEN / np.maximum(number, 1) >= self.least[best]) & (mean > 0)
+        return best, scores[np.arange(len(texts)), best], inside, mean
 
 
 def fit(labelled: list[tuple[str, str]], landmarks: int = LANDMARKS) -> Model | None:
@@ -196,7 +234,9 @@ def fit(labelled: list[tuple[str, str]], landmarks: int = LANDMARKS) -> Model |
     least = np.full(len(languages), LEAST_KNOWN)
     model = Model(languages, features, bounds, held, sizes, own[chosen], np.zeros((len(chosen), len(languages))), least)
     tables = model.tables()
-    kernel = np.concatenate([model.kernel([text], tables) for text, _ in labelled])
+    grams = (list(_hashed([text])) for text, _ in labelled)
+    dense = model.dense()
+    kernel = np.concatenate([model.kernel(g, 1, tables, dense) for g in grams])
     target = np.where(own[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # Each language counts alike, however many rows it has.
     share = 1.0 / np.bincount(own)[own]
@@ -206,7 +246,7 @@ def fit(labelled: list[tuple[str, str]], landmarks: int = LANDMARKS) -> Model |
     marked = set(chosen.tolist())
     shares: list[list[float]] = [[] for _ in languages]
     for i, (text, _) in enumerate(labelled):
-        shares[own[i]].append(float(model.known([text], tables, own[i : i + 1], 2 if i in marked else 1)[0][0]))
+        shares[own[i]].append(float(model.known(list(_hashed([text])), 1, tables, own[i : i + 1], 2 if i in marked else 1)[0][0]))
     model.least = np.asarray([min(LEAST_KNOWN, KNOWN_PART * float(np.quantile(x, KNOWN_QUANTILE))) for x in shares])
     return model
 
@@ -235,7 +275,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, sample_chars
 
 def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = model.tables() if model else []
+        tables, dense = (model.tables(), model.dense()) if model else ([], None)
         for batch in batches:
             raw = batch.column("text").to_pylist()
             names, values = [UNKNOWN] * len(raw), np.zeros(len(raw))
@@ -248,11 +288,7 @@ def _predict(model: Model | None):
                     size += len(raw[todo[at]])
                     at += 1
                 texts = [_clean(raw[i]) for i in some]
-                scores = model.scores(texts, tables)
-                best = scores.argmax(axis=1)
-                inside, known = model.members(texts, tables, best)
-                claims = scores[np.arange(len(some)), best]
-                for i, k, s, own, part in zip(some, best.tolist(), claims.tolist(), inside.tolist(), known.tolist(), strict=True):
+                for i, k, s, own, part in zip(some, *(x.tolist() for x in model.predict(texts, tables, dense)), strict=True):
                     value = min(1.0, max(0.0, (1 + s) / 2))
                     names[i], values[i] = (model.languages[k], value) if own else (UNKNOWN, value * part)
             yield pa.RecordBatch.from_arrays(

@@ -197,8 +197,9 @@ def test_kernel_is_the_mean_cosine_of_presence():
     known = [set().union(*(grams(t, n) for t in ("abc abd", "abe", "zzz zz"))) for n in language_id.GRAMS]
     value = sum(len((a := grams("abx", n) & known[n - 1]) & (b := grams("abe", n))) / max(1e-9, (len(a) * len(b)) ** 0.5) for n in language_id.GRAMS) / 3
     assert model.languages == ["x", "y"] and model.owner.tolist() == [0, 0, 1]
-    kernel = model.kernel(["q", "abx"], model.tables())
-    assert kernel[1, 1] == pytest.approx(value, abs=1e-9)
+    grams = list(language_id._hashed(["q", "abx"]))
+    for dense in (None, model.dense()):
+        assert model.kernel(grams, 2, model.tables(), dense)[1, 1] == pytest.approx(value, abs=1e-6)
 
 
 def test_predictions_equal_brute_force():
@@ -220,8 +221,11 @@ def test_predictions_equal_brute_force():
     weights = np.linalg.solve(rows.T @ rows / 40 + language_id.RIDGE * among + 1e-9 * np.eye(len(marks)), rows.T @ target)
     asked = [text(lang) for lang in "xyz" for _ in range(30)]
     want = np.asarray([[kernel(t, m) for m in marks] for t in asked]) @ weights
-    got = model.scores(asked, model.tables())
-    assert np.allclose(got, want, atol=1e-6) and (got.argmax(axis=1) == want.argmax(axis=1)).all()
+    grams = list(language_id._hashed(asked))
+    for dense in (None, model.dense()):
+        got = model.kernel(grams, len(asked), model.tables(), dense) @ model.weights
+        assert np.allclose(got, want, atol=1e-3)
+        assert (model.predict(asked, model.tables(), dense)[0] == want.argmax(axis=1)).all()
 
 
 def test_many_languages_stay_small():
@@ -231,7 +235,11 @@ def test_many_languages_stay_small():
     model = language_id.fit(labelled, landmarks=300)
     assert len(model.owner) == 300 and len(model.languages) == 150
     asked = ["".join(rng.choice(chars[20 * k : 20 * k + 60]) for _ in range(200)) for k in range(150)]
-    assert (model.scores(asked, model.tables()).argmax(axis=1) == np.arange(150)).mean() > 0.95
+    asked_grams = list(language_id._hashed(asked))
+    known = model.known(asked_grams, 150, model.tables(), np.arange(150))
+    model.whole = None  # the same from the pairs alone
+    assert all((a == b).all() for a, b in zip(known, model.known(asked_grams, 150, model.tables(), np.arange(150)), strict=True))
+    assert (model.predict(asked, model.tables())[0] == np.arange(150)).mean() > 0.95
     assert sum(x.nbytes for x in (model.bounds, model.held, model.pairs, model.holders, model.weights)) < 64 << 20
 
 
@@ -678,9 +686,10 @@ def test_near_duplicate_edges(spark, odd, none):
 
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 30)] + [(5, 5), (2, 1)]
-    got = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
-    assert {r.node: r.component for r in got.collect()} == {i: 0 for i in range(41)} | {1000 + i: 1000 for i in range(30)}
-    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    as_node = lambda c: F.encode(F.lpad(F.col(c).cast("string"), 5, "0"), "UTF-8").alias(c)
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long").select(as_node("a"), as_node("b")))
+    assert {int(r.node): int(r.component) for r in got.collect()} == {i: 0 for i in range(41)} | {1000 + i: 1000 for i in range(30)}
+    assert components.connected_components(spark.createDataFrame([], "a binary, b binary")).count() == 0
 
 
 # -- 10 secrets
