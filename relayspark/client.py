@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from relayspark.operators import dispatch, graph, liveness, neighbours, pipeline, queueing, registry, sendlog
+from relayspark.operators import dispatch, graph, liveness, meshes, neighbours, pipeline, queueing, registry, sendlog
 from relayspark.sources import tables
 from relayspark.streaming import keyed
 
@@ -29,15 +28,17 @@ class Client:
         beats = self.heartbeats()
         return neighbours.peers_ever(beats, worker) if ever else neighbours.peers_of(registry.latest(beats), worker)
 
-    def reintroduce(self) -> DataFrame:
-        """The snapshot that goes to every worker: its rows once, not once for each receiver."""
-        return neighbours.ports(registry.latest(self.heartbeats()))
+    def reintroduce(self, requests: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """The snapshot that goes to every worker (its rows once, not once for each receiver), and the replies to
+        those that asked for it."""
+        snapshot = neighbours.ports(registry.latest(self.heartbeats()))
+        return snapshot, None if requests is None else dispatch.reintroduced(requests)
 
     def run_pipeline(self, tasks: DataFrame | None = None) -> DataFrame:
-        """Arrival and completion of every hop; all tasks in one mesh for each first worker."""
+        """Arrival and completion of every hop; tasks that share workers, directly or over others, wait for each
+        other. A column ``mesh`` that names such sets saves finding them."""
         tasks = tables.tasks(self.spark, self.sf_dir) if tasks is None else tasks
-        named = tasks if "mesh" in tasks.columns else tasks.withColumn("mesh", F.get("pipeline", F.lit(0)))
-        return queueing.simulate(named)
+        return queueing.simulate(tasks if "mesh" in tasks.columns else meshes.connected(tasks))
 
     def replies(self) -> DataFrame:
         return pipeline.replies(tables.tasks(self.spark, self.sf_dir))

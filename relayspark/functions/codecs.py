@@ -65,6 +65,40 @@ def endpoint(host: Column, port: Column) -> Column:
     return F.format_string("tcp://%s:%s", host, port.cast("string"))
 
 
+#: How each byte is written between the quotes of a bytes literal, by the language's own rule.
+_WRITTEN = [repr(bytes([i]))[2:-1] if i != 0x27 else "'" for i in range(256)]
+
+
+def bytes_text(frame: Column) -> Column:
+    """A frame as a bytes literal, as a log of raw frames shows it: b'...' with escapes; in double quotes where only
+    single ones are in it."""
+    table = F.array(*map(F.lit, _WRITTEN))
+    pairs = F.regexp_extract_all(F.hex(frame), F.lit("(..)"), F.lit(1))
+    body = F.array_join(F.transform(pairs, lambda x: F.element_at(table, F.conv(x, 16, 10).cast("int") + 1)), "")
+    single, double = F.instr(body, "'") > 0, F.instr(body, '"') > 0
+    quoted = F.concat(F.lit("b'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(single & ~double, F.concat(F.lit('b"'), body, F.lit('"'))).otherwise(quoted)
+
+
+def float_text(number: Column) -> Column:
+    """A double in plain digits, with one behind the point at least (1700000000.25, 3.0); in exponent form from 1e16 on
+    and below 0.0001."""
+    text = number.cast("double").cast("string")
+    plain = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    plain = F.when(plain.contains("."), plain).otherwise(F.concat(plain, F.lit(".0")))
+    power = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E(\d)", "e+$1"), "E-", "e-")
+    power = F.regexp_replace(power, r"e([+-])(\d)$", "e$10$2")
+    size = F.abs(number)
+    return F.when(number.isNull() | F.isnan(number) | (size == float("inf")), F.replace(F.lower(text), F.lit("infinity"), F.lit("inf"))).when((size >= 1e16) | ((size < 1e-4) & (size > 0)), power).when(number == 0, F.when(text.startswith("-"), "-0.0").otherwise("0.0")).otherwise(plain)
+
+
+def field(fields: Column, key: str, strict: bool = False) -> Column:
+    """A field of a map; null if it is not there, or an error if ``strict``."""
+    if not strict:
+        return F.try_element_at(fields, F.lit(key))
+    return F.when(F.map_contains_key(fields, key), F.try_element_at(fields, F.lit(key))).otherwise(F.raise_error(F.lit(f"no field {key}")).cast("string"))
+
+
 def head(items: Column) -> Column:
     return F.get(items, F.lit(0))
 

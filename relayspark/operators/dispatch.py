@@ -82,10 +82,27 @@ class Handlers:
         return results | {"rejects": rejects(routed)}
 
 
+def strict(dispatched: DataFrame) -> DataFrame:
+    """The same rows; a message that its channel would raise for fails the query with its problem."""
+    checked = F.when(F.col("handler") == "raise", F.raise_error(F.col("problem")).cast("string")).otherwise(F.col("handler"))
+    return dispatched.withColumn("handler", checked)
+
+
 def reply(requests: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each answer to the sender that asked: equi-join on the sender."""
-    return requests.select("sender").join(answers, "sender")
+    """Each answer (sender, request_id, ...) to the sender and request that asked for it; requests without an answer
+    give no row."""
+    return requests.select("sender", "request_id").join(answers, ["sender", "request_id"])
+
+
+def answer(requests: DataFrame, text: str) -> DataFrame:
+    """The same ``text`` to every request (sender, request_id)."""
+    return requests.select("sender", "request_id", F.lit(text).alias("reply"))
+
+
+def pong(requests: DataFrame) -> DataFrame:
+    return answer(requests, "Pong")
 
 
-def pong(requests: DataFrame, text: str = "Pong") -> DataFrame:
-    return requests.select("sender", F.lit(text).alias("reply"))
+def reintroduced(requests: DataFrame) -> DataFrame:
+    """What a client hears once the registry has been broadcast."""
+    return answer(requests, "Done reintroducing...")

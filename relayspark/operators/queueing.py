@@ -37,6 +37,24 @@ def completions(arrivals: DataFrame, service: float = SERVICE_SECONDS) -> DataFr
     return timed.select("worker", "arrived", "id", "place", "done", (F.col("done") - F.lit(service) - F.col("arrived")).alias("waited"))
 
 
+def pops(changes: DataFrame) -> DataFrame:
+    """(worker, id, got) for each change of -1 that finds a task: ``got`` is the id of the change of +1 it takes, first
+    in, first out. A change of -1 that finds its worker's queue empty takes nothing.
+
+    The n-th successful pop takes the n-th push; pops that found nothing so far number as many as the pops so far
+    have been ahead of the pushes at most."""
+    every = _order().rowsBetween(Window.unboundedPreceding, 0)
+    ahead = F.sum(-F.col("change")).over(every)
+    counted = changes.select("worker", "arrived", "id", "change", ahead.alias("ahead"), F.sum(F.when(F.col("change") < 0, 1).otherwise(0)).over(every).alias("n"))
+    idle = F.greatest(F.max("ahead").over(every), F.lit(0))
+    found = counted.select("worker", "arrived", "id", "change", "n", idle.alias("idle"))
+    before = F.coalesce(F.lag("idle").over(_order()), F.lit(0))
+    found = found.withColumn("fresh", F.col("idle") == before)
+    taken = found.where("change < 0 and fresh").select("worker", "id", (F.col("n") - F.col("idle")).alias("nth"))
+    pushed = changes.where("change > 0").select("worker", F.col("id").alias("got"), F.row_number().over(_order()).alias("nth"))
+    return taken.join(pushed, ["worker", "nth"]).select("worker", "id", "got")
+
+
 MESH = "mesh string, task_id long, hop long, worker string, arrived double, done double"
 
 

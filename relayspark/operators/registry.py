@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from relayspark.model import WORKER_PREFIX
 
 FIELDS = ("sent_at", "service", "port", "x", "y")
+#: What decides which of two heartbeats holds.
+ORDERS = {"arrival": ("arrived_at", "arrival"), "event_time": ("sent_at", "arrived_at", "arrival")}
 
 
 def latest(beats: DataFrame, order: str = "arrival") -> DataFrame:
     """One row per worker. The last arrival wins, as an upsert does; with ``order='event_time'`` the
-    heartbeat of the latest ``sent_at`` wins, so one that arrives late changes nothing."""
-    keys = {"arrival": ("arrived_at", "arrival"), "event_time": ("sent_at", "arrived_at", "arrival")}[order]
-    row = F.max_by(F.struct(*FIELDS), F.struct(*keys)).alias("r")
+    heartbeat of the latest ``sent_at`` wins, so one that arrives late changes nothing. Heartbeats are whole; see
+    ``merged`` for those that leave fields out."""
+    row = F.max_by(F.struct(*FIELDS), F.struct(*ORDERS[order])).alias("r")
     return beats.groupBy("worker").agg(row).select("worker", "r.*")
 
 
+def merged(beats: DataFrame, order: str = "arrival") -> DataFrame:
+    """As ``latest``, but field by field: a null field was not sent, and what the field held before stays."""
+    said = lambda name: F.when(F.col(name).isNotNull(), F.struct(*ORDERS[order]))
+    return beats.groupBy("worker").agg(*[F.max_by(name, said(name)).alias(name) for name in FIELDS])
+
+
 def prefix_scan(registry: DataFrame, key: str = "worker", prefix: str = WORKER_PREFIX) -> DataFrame:
     """Entries whose key starts with ``prefix``; the predicate reaches the scan."""
     return registry.where(F.col(key).startswith(prefix))
@@ -48,9 +56,10 @@ def worker_list(registry: DataFrame) -> DataFrame:
 
 
 def upsert(registry: DataFrame, beats: DataFrame) -> DataFrame:
-    """The registry after more heartbeats: their last arrival of each worker replaces its entry."""
-    fresh = latest(beats)
-    return registry.select("worker", *FIELDS).join(fresh, "worker", "left_anti").unionByName(fresh)
+    """The registry after more heartbeats: field by field, what they sent last replaces what a worker's entry held."""
+    old = registry.select("worker", *[F.col(name).alias(f"old_{name}") for name in FIELDS])
+    kept = [F.coalesce(name, f"old_{name}").alias(name) for name in FIELDS]
+    return old.join(merged(beats), "worker", "full_outer").select("worker", *kept)
 
 
 def delete(registry: DataFrame, dead: DataFrame) -> DataFrame:

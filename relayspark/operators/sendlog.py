@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relayspark.functions.codecs import total_bytes
+from relayspark.functions.codecs import bytes_text, total_bytes
 
 #: Fixed value: the header of a log file.
 HEADER = "recipient,id,time,size"
@@ -15,10 +15,10 @@ MANY_FRAMES = 4
 
 def entries(messages: DataFrame) -> DataFrame:
     """A row for each message (frames, time_ms) with more than ``MANY_FRAMES`` frames: recipient, msg_type,
-    msg_id, time_ms, total_bytes; for shorter ones only the last two and the frames as text are known."""
+    msg_id, time_ms, total_bytes; for shorter ones only the last two and the list of frames as text are known."""
     text = lambda i: F.decode(F.get("frames", F.lit(i)), "UTF-8")
     long = F.size("frames") > MANY_FRAMES
-    shown = F.concat(F.lit("["), F.array_join(F.transform("frames", lambda f: F.decode(f, "UTF-8")), ", "), F.lit("]"))
+    shown = F.concat(F.lit("["), F.array_join(F.transform("frames", bytes_text), ", "), F.lit("]"))
     return messages.select(
         F.when(long, text(0)).alias("recipient"),
         F.when(long, text(1)).alias("msg_type"),

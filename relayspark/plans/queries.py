@@ -1,4 +1,4 @@
-"""The registered queries over the reference's capabilities, each with SQL that DuckDB answers alike."""
+"""The registered queries over the service mesh's tables, each with SQL that DuckDB answers alike."""
 
 from __future__ import annotations
 
@@ -323,13 +323,186 @@ def codec_roundtrip(spark, sf_dir):
     return back.select("doc_id", F.col("back").alias("text"), F.col("back").eqNullSafe(F.col("text")).alias("same"))
 
 
-@query()
+#: Events of a mesh in order of time, task and hop: the first is served, and its next hop queues up.
+_SIMULATION = f"""WITH RECURSIVE {_TASKS},
+    placed AS (SELECT task_id, task_id // 25 AS mesh, pipeline, len(pipeline) AS n FROM tasks),
+    sim AS (
+        SELECT mesh, list_sort(list({{'at': task_id::DOUBLE, 'task': task_id, 'hop': 0::BIGINT}})) AS q,
+            -1.0::DOUBLE AS u, -1.0::DOUBLE AS a, -1.0::DOUBLE AS s,
+            NULL::BIGINT AS task_id, NULL::BIGINT AS hop, NULL::VARCHAR AS worker, NULL::DOUBLE AS arrived, NULL::DOUBLE AS done
+        FROM placed GROUP BY mesh
+        UNION ALL
+        SELECT mesh, list_sort(list_concat(list_slice(q, 2, len(q)),
+                CASE WHEN e.hop + 1 < n THEN [{{'at': t, 'task': e.task, 'hop': e.hop + 1}}] ELSE [] END)),
+            CASE WHEN w = 'user' THEN t ELSE u END, CASE WHEN w = 'assistant' THEN t ELSE a END, CASE WHEN w = 'system' THEN t ELSE s END,
+            e.task, e.hop, w, e.at, t
+        FROM (
+            SELECT x.*, greatest(e.at, CASE w WHEN 'user' THEN u WHEN 'assistant' THEN a ELSE s END) + 0.5 AS t
+            FROM (
+                SELECT sim.mesh, q, u, a, s, q[1] AS e, n, pipeline[q[1].hop + 1] AS w
+                FROM sim JOIN placed ON placed.task_id = q[1].task WHERE len(q) > 0) x))
+    SELECT mesh::VARCHAR AS mesh, task_id, hop, worker, arrived, done FROM sim WHERE task_id IS NOT NULL"""
+
+
+@query(_SIMULATION)
 def pipeline_simulation(spark, sf_dir):
-    """Each conversation is a mesh of its own: its roles are served by workers of that conversation."""
-    tasks = tables.tasks(spark, sf_dir).withColumn("mesh", F.col("task_id").cast("string"))
+    """Runs of 25 tasks share a mesh: their roles are the workers, so tasks wait for each other."""
+    tasks = tables.tasks(spark, sf_dir).withColumn("mesh", F.floor(F.col("task_id") / 25).cast("string"))
     return queueing.simulate(tasks)
 
 
+@query(f"""WITH {_BEATS}, sent AS (
+    SELECT worker, ts, event_id, sent_at, service, CASE WHEN service = 'click' THEN port END AS port,
+        CASE WHEN service = 'purchase' THEN (event_id % 7)::VARCHAR END AS x FROM beats)
+    SELECT worker, list(sent_at ORDER BY ts, event_id)[-1] AS sent_at, list(service ORDER BY ts, event_id)[-1] AS service,
+        (list(port ORDER BY ts, event_id) FILTER (WHERE port IS NOT NULL))[-1] AS port,
+        (list(x ORDER BY ts, event_id) FILTER (WHERE x IS NOT NULL))[-1] AS x FROM sent GROUP BY worker""")
+def registry_merge(spark, sf_dir):
+    """Heartbeats that leave fields out change the others alone."""
+    beats = tables.heartbeats(spark, sf_dir)
+    beats = beats.withColumn("port", F.when(F.col("service") == "click", F.col("port"))).withColumn("x", F.when(F.col("service") == "purchase", (F.col("arrival") % 7).cast("string")))
+    return registry.merged(beats).select("worker", "sent_at", "service", "port", "x")
+
+
+@query(f"""WITH {_BEATS} SELECT '{WORKER}' AS self, worker AS peer, port FROM registry
+    WHERE worker <> '{WORKER}' AND {UNTIL} - sent_at > {TIMEOUT}""")
+def peers_lingering(spark, sf_dir):
+    """Workers that the registry has evicted, and a peer still knows."""
+    beats = tables.heartbeats(spark, sf_dir)
+    return neighbours.lingering(beats, liveness.survivors(registry.latest(beats), UNTIL, TIMEOUT), WORKER)
+
+
+@query(f"WITH {_BEATS} SELECT a.worker AS self, b.worker AS peer, b.port FROM registry a JOIN registry b ON a.worker <> b.worker")
+def peers_all(spark, sf_dir):
+    return neighbours.all_peers(registry.latest(tables.heartbeats(spark, sf_dir)))
+
+
+@query(f"WITH {_BEATS} SELECT worker AS sender, event_id AS request_id, 'Pong' AS reply FROM beats WHERE service = 'click'")
+def ping_replies(spark, sf_dir):
+    return dispatch.pong(tables.requests(spark, sf_dir, "click"))
+
+
+@query(f"WITH {_BEATS} SELECT worker AS sender, event_id AS request_id, 'Done reintroducing...' AS reply FROM beats WHERE service = 'view'")
+def reintroduce_replies(spark, sf_dir):
+    return dispatch.reintroduced(tables.requests(spark, sf_dir, "view"))
+
+
+@query("""SELECT count(*)::VARCHAR AS reply FROM (
+    SELECT 'p' || l_partkey AS node FROM lineitem UNION SELECT 's' || l_suppkey FROM lineitem)""")
+def graph_ping(spark, sf_dir):
+    return graph.node_count_reply(tables.graph_edges(spark, sf_dir))
+
+
+@query(f"""WITH {_BEATS} SELECT b.worker AS sender, b.event_id AS request_id, e.event_type || ' ' || (octet_length(encode(e.props)))::VARCHAR AS reply
+    FROM beats b JOIN events e ON b.event_id = e.event_id WHERE e.event_type IN ('click', 'purchase')""")
+def replies_to_senders(spark, sf_dir):
+    """Handlers answer some of the requests; each answer goes to the request it is for."""
+    asked = tables.messages(spark, sf_dir).withColumnRenamed("event_id", "request_id")
+    size = F.octet_length(F.get("frames", F.lit(2))).cast("string")
+    handlers = dispatch.Handlers()
+    for name in ("click", "purchase"):
+        handlers.on(name)(lambda rows: rows.select("sender", "request_id", F.concat_ws(" ", "handler", size).alias("reply")))
+    results = handlers.run(asked)
+    return dispatch.reply(asked, results["click"].unionByName(results["purchase"]))
+
+
+#: Per channel: whether types are lower-cased; the handler of empty, reserved and unknown types.
+_CHANNELS = ", ".join(
+    f"('{name}', {str(rule['lower']).upper()}, '{rule['empty']}', '{rule['reserved']}', '{rule['unknown']}')" for name, rule in dispatch.CHANNELS.items()
+)
+
+
+@query(f"""WITH rules(channel, lowers, empty, reserved, unknown) AS (VALUES {_CHANNELS}),
+    said AS (
+        SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN '_' || event_type WHEN 2 THEN upper(event_type) WHEN 3 THEN 'nope' ELSE event_type END AS said FROM events),
+    typed AS (SELECT channel, empty, reserved, unknown, CASE WHEN lowers THEN lower(said) ELSE said END AS t FROM said, rules)
+    SELECT channel, CASE WHEN t = '' THEN empty WHEN starts_with(t, '_') THEN reserved WHEN t IN ('click', 'view', 'purchase') THEN t ELSE unknown END AS handler,
+        count(*) AS messages FROM typed GROUP BY ALL""")
+def dispatch_channels(spark, sf_dir):
+    """Every kind of channel, with types that are empty, reserved, upper-case and unknown."""
+    number, kind = F.col("event_id") % 5, F.col("event_type")
+    said = F.when(number == 0, "").when(number == 1, F.concat(F.lit("_"), kind)).when(number == 2, F.upper(kind)).when(number == 3, "nope").otherwise(kind)
+    events = tables.table(spark, sf_dir, "events").select("event_id", said.alias("said"))
+    found = None
+    for name, rule in dispatch.CHANNELS.items():
+        body = F.to_json(F.array("said", F.lit("data"))) if rule["envelope"] else F.col("said")
+        frames = F.array(F.encode(F.lit("sender"), "UTF-8"), F.encode(body, "UTF-8"))
+        routed = dispatch.dispatch(events.select(frames.alias("frames")), HANDLERS, name, 1).select(F.lit(name).alias("channel"), "handler")
+        found = routed if found is None else found.unionByName(routed)
+    return found.groupBy("channel", "handler").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query(f"""WITH {_BEATS}, fields AS (
+    SELECT worker, unnest(['sentAt', 'service', 'port', 'x', 'y']) AS field, unnest([sent_at::VARCHAR, service, port, x, y]) AS value FROM registry)
+    SELECT f.worker, field, value, r.port AS port FROM fields f JOIN registry r ON f.worker = r.worker""")
+def registry_fields(spark, sf_dir):
+    """Entries as a store of strings gives them back, and one field looked up."""
+    rows = registry.as_fields(registry.latest(tables.heartbeats(spark, sf_dir)))
+    return rows.select("worker", codecs.field(F.col("fields"), "port", strict=True).alias("port"), F.explode("fields").alias("field", "value"))
+
+
+@query("SELECT event_id, epoch_us(ts) / 1e6 AS seconds, (epoch_us(ts) / 1e6)::VARCHAR AS shown, (value * 10000)::VARCHAR AS amount FROM events")
+def epoch_floats(spark, sf_dir):
+    seconds = codecs.epoch_float(F.col("ts"))
+    rows = tables.table(spark, sf_dir, "events")
+    return rows.select("event_id", seconds.alias("seconds"), codecs.float_text(seconds).alias("shown"), codecs.float_text(F.col("value") * 10000).alias("amount"))
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) = len(text) THEN octet_length(encode(text)) ELSE -1 END AS n_bytes FROM documents")
+def ascii_frames(spark, sf_dir):
+    """Bytes of each text's frame; -1 for texts that ASCII cannot hold, which have none."""
+    size = F.coalesce(F.octet_length(codecs.encode(F.col("text"))), F.lit(-1))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", size.cast("bigint").alias("n_bytes"))
+
+
+@query("""SELECT concat('[b', chr(39), role, chr(39), ', b', chr(39), conv_id, chr(39), '],', turn, ',', len(role) + len(conv_id::VARCHAR)) AS value FROM conversations""")
+def send_log_short(spark, sf_dir):
+    """Messages of few frames are logged with the list of their frames."""
+    frames = F.array(F.encode("role", "UTF-8"), F.encode(F.col("conv_id").cast("string"), "UTF-8"))
+    rows = tables.table(spark, sf_dir, "conversations").select(frames.alias("frames"), F.col("turn").alias("time_ms"))
+    return sendlog.lines(sendlog.entries(rows))
+
+
+_POPS = f"""WITH {_BEATS}, changes AS (
+    SELECT worker, sent_at AS arrived, event_id AS id, CASE WHEN service IN ('click', 'view') THEN 1 ELSE -1 END AS change FROM beats),
+    counted AS (
+        SELECT *, sum(-change) OVER w AS ahead, count(*) FILTER (WHERE change < 0) OVER w AS n FROM changes
+        WINDOW w AS (PARTITION BY worker ORDER BY arrived, id ROWS UNBOUNDED PRECEDING)),
+    idled AS (SELECT *, greatest(0, max(ahead) OVER (PARTITION BY worker ORDER BY arrived, id ROWS UNBOUNDED PRECEDING)) AS idle FROM counted),
+    found AS (SELECT *, coalesce(lag(idle) OVER (PARTITION BY worker ORDER BY arrived, id), 0) AS before FROM idled),
+    pushed AS (SELECT worker, id AS got, row_number() OVER (PARTITION BY worker ORDER BY arrived, id) AS nth FROM changes WHERE change > 0)
+    SELECT f.worker, id, got FROM found f JOIN pushed p ON p.worker = f.worker AND p.nth = n - idle WHERE change < 0 AND idle = before"""
+
+
+def _changes(beats: DataFrame) -> DataFrame:
+    change = F.when(F.col("service").isin("click", "view"), 1).otherwise(-1)
+    return beats.select("worker", F.col("sent_at").cast("double").alias("arrived"), F.col("arrival").alias("id"), change.alias("change"))
+
+
+@query(_POPS)
+def queue_pops(spark, sf_dir):
+    return queueing.pops(_changes(tables.heartbeats(spark, sf_dir)))
+
+
+@query(_POPS)
+def stream_task_list(spark, sf_dir):
+    return keyed.run_to_end(keyed.task_list_stream(_changes(keyed.heartbeat_stream(spark, sf_dir))), "stream-tasks")
+
+
+@query("""SELECT event_id, event_type AS msg_type, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type ELSE 'unhandled' END AS handler FROM events""")
+def stream_dispatch(spark, sf_dir):
+    routed = dispatch.dispatch(keyed.request_stream(spark, sf_dir), HANDLERS, "router", 1)
+    return keyed.run_to_end(routed.select("event_id", "msg_type", "handler"), "stream-dispatch")
+
+
+@query(f"WITH {_BEATS} SELECT b.event_id AS arrival, b.worker, r.port AS known_port FROM beats b JOIN registry r ON b.worker = r.worker")
+def stream_addresses(spark, sf_dir):
+    """A stream that meets the registry's snapshot, as workers do after a broadcast."""
+    ports = neighbours.ports(registry.latest(tables.heartbeats(spark, sf_dir)))
+    found = keyed.addressed(keyed.heartbeat_stream(spark, sf_dir).select("worker", "arrival"), ports)
+    return keyed.run_to_end(found.select("arrival", "worker", "known_port"), "stream-addresses")
+
+
 @query(f"""WITH {_BEATS}, ahead AS (
     SELECT worker, sent_at, lead(sent_at) OVER (PARTITION BY worker ORDER BY sent_at, event_id) AS next_at FROM beats),
     seen AS (SELECT epoch_us(max(ts)) / 1e6 - 10 AS mark FROM events)

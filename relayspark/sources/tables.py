@@ -19,6 +19,9 @@ class Settings:
     worker_id: str = field(default_factory=lambda: environ.get("WORKER_ID", "0000"))
     service: str = field(default_factory=lambda: environ.get("SERVICE", "DEMO").strip("'\""))
     port: int = field(default_factory=lambda: int(environ.get("PORT", "6000")))
+    frontend_port: int = field(default_factory=lambda: int(environ.get("FRONTEND_PORT", "5559")))
+    backend_port: int = field(default_factory=lambda: int(environ.get("BACKEND_PORT", "5560")))
+    heartbeat_port: int = field(default_factory=lambda: int(environ.get("HEARTBEAT_PORT", "5561")))
     x: str = field(default_factory=lambda: environ.get("X", "0"))
     y: str = field(default_factory=lambda: environ.get("Y", "0"))
 
@@ -59,10 +62,21 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("task_id", F.col("task_id").cast("double").alias("time"), F.transform("t", lambda t: t["role"]).alias("pipeline"))
 
 
+def message_columns() -> list[Column]:
+    """An event row as a message of three frames: sender, type and JSON payload."""
+    sender = codecs.worker_name(F.col("user_id"))
+    frames = F.array(*[F.encode(c, "UTF-8") for c in (sender, F.col("event_type"), F.col("props"))])
+    return [F.col("event_id"), F.col("user_id"), sender.alias("sender"), frames.alias("frames")]
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An event as a message of three frames: sender, type and JSON payload."""
-    frames = F.array(*[F.encode(c, "UTF-8") for c in (codecs.worker_name(F.col("user_id")), F.col("event_type"), F.col("props"))])
-    return table(spark, sf_dir, "events").select("event_id", F.col("user_id"), codecs.worker_name(F.col("user_id")).alias("sender"), frames.alias("frames"))
+    return table(spark, sf_dir, "events").select(*message_columns())
+
+
+def requests(spark: SparkSession, sf_dir: str, msg_type: str) -> DataFrame:
+    """(sender, request_id) of the messages of one type."""
+    rows = messages(spark, sf_dir).where(F.decode(F.get("frames", F.lit(1)), "UTF-8") == msg_type)
+    return rows.select("sender", F.col("event_id").alias("request_id"))
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,7 +151,7 @@ def test_codecs(spark):
 
 def test_send_log_forms(spark):
     rows = messages(spark, ["r", "t", "i", "é", "x"], ["a", "b"]).withColumn("time_ms", F.lit(7))
-    assert sorted(r.value for r in sendlog.lines(sendlog.entries(rows)).collect()) == ["[a, b],7,2", "r,t,i,7,6"]
+    assert sorted(r.value for r in sendlog.lines(sendlog.entries(rows)).collect()) == ["[b'a', b'b'],7,2", "r,t,i,7,6"]
 
 
 def test_missing_table_is_named(spark):
