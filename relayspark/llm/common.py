@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,16 +24,43 @@ BATCH_BYTES = 16 << 20
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Folders that ``shared_dir`` has named, by application.
+_MADE: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path below the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Where that setting is absent (local tests) a folder of this machine is chosen and remembered.
+    Where that setting is absent, a folder of this machine is chosen and remembered if all runs on it (local
+    tests); on a cluster that is an error.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="relayspark-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/relayspark/{label}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="relayspark-"))
+        base = context.getCheckpointDir()
+    path = f"{base.rstrip('/')}/relayspark/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(context.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all intermediate tables and files of this application; results that still read them are lost."""
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        discard(spark, path)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` does not have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relayspark.llm.common import ascii_lower, fits_broadcast, let, small_side, written
+from relayspark.llm.common import ascii_lower, fits_broadcast, let, small_side, spare, written
 
 WINDOW = 10
 STRIDE = 5
@@ -151,20 +151,21 @@ def without_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most:
     Clean rows stay as they are, null, empty and wordless texts among them; rows of one ``doc_id`` are judged each by
     its own text, and repeated rows alike. ``n_chars``, if there, is set anew for rows that change. All columns and
     their order are kept. An empty benchmark changes nothing; an empty table stays empty."""
-    found = hits(docs, items, window).select(F.col("doc_id").alias("__d"), F.col("same").alias("__s"), F.col("positions").alias("__p"))
+    doc, same, places, new = spare(docs, "__doc", "__same", "__places", "__new")
+    found = hits(docs, items, window).select(F.col("doc_id").alias(doc), F.col("same").alias(same), F.col("positions").alias(places))
     text = F.col("text").cast("string")
-    joined = docs.join(small_side(found, 4096), (F.col("doc_id").eqNullSafe(F.col("__d"))) & (F.md5(text.cast("binary")) == F.col("__s")), "left")
-    hit = F.col("__p").isNotNull()
+    joined = docs.join(small_side(found, 4096), (F.col("doc_id").eqNullSafe(F.col(doc))) & (F.md5(text.cast("binary")) == F.col(same)), "left")
+    hit = F.col(places).isNotNull()
     split = F.struct(
         F.regexp_extract_all(text, F.lit(WORD_OR_UPPER), F.lit(0)).alias("w"),
         F.split(text, WORD_OR_UPPER, -1).alias("g"),
-        F.col("__p").alias("p"),
+        F.col(places).alias("p"),
     )
     too_many = lambda x: F.size(x["p"]) > most * F.size(x["w"])
     made = let(split, lambda x: F.when(too_many(x), F.lit(None)).otherwise(_rebuilt(x)))
     # Null stands for a document that goes; clean rows keep their text, null or not.
-    cleaned = joined.withColumn("__new", F.when(hit, made)).where(F.col("__p").isNull() | F.col("__new").isNotNull())
-    cleaned = cleaned.withColumn("text", F.when(hit, F.col("__new")).otherwise(F.col("text")))
+    cleaned = joined.withColumn(new, F.when(hit, made)).where(~hit | F.col(new).isNotNull())
+    cleaned = cleaned.withColumn("text", F.when(hit, F.col(new)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cleaned.select(*docs.columns)

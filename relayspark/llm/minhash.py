@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relayspark.llm.common import python_ready, small_side, written
+from relayspark.llm.common import python_ready, small_side, spare, written
 from relayspark.llm.components import connected_components
 from relayspark.llm.shingles import shingle_sets
 
@@ -292,16 +292,17 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     # The smallest node is one row, unless rows share id and set of shingles.
     first = rows.where("own = root").groupBy("root").agg(F.min("row_key").alias("first"))
     heads = rows.where("own = root").join(first, "root")
-    ids = (F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"))
+    key, doc, row = spare(docs, "__key", "__doc", "__row")
+    ids = (F.col("doc_id").alias(doc), F.col("row_key").alias(row))
     gone = rows.where("own <> root").select(*ids).unionByName(heads.where("row_key <> first").select(*ids))
-    same = F.expr("doc_id <=> __id and __key <=> __row")
-    keyed = docs.withColumn("__key", row_key(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col(key).eqNullSafe(F.col(row))
+    keyed = docs.withColumn(key, row_key(F.col("text")))
     left = keyed.join(small_side(written(gone, "gone"), 40), same, "left_anti")
     # Rows that are repeated as a whole leave one.
     again = written(heads.where("row_key = first and times > 1").select(*ids), "repeated")
     if not again.isEmpty():
         again = small_side(again, 40)
-        once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__key"])
+        once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", key])
         left = left.join(again, same, "left_anti").unionByName(once)
     return left.select(*docs.columns)
 

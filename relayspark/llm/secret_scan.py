@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relayspark.llm.common import between, let, pieces_of, running
+from relayspark.llm.common import between, let, pieces_of, running, spare
 
 #: Patterns, with the least length of the match (of its second group, for ``assign``).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -144,9 +144,10 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
 
     Overlapping secrets become one mask. ``n_chars``, if there, is set anew for rows that change. All columns
     stay; rows without a secret, null and empty texts too, stay as they are. An empty table stays empty."""
-    rows = scan(docs, "__found")
+    [found] = spare(docs, "__found")
+    rows = scan(docs, found)
     text = F.col("text").cast("string")
-    ordered = F.sort_array(F.transform("__found", lambda s: F.struct(s["value"].alias("value"), s["end"].alias("end"))))
+    ordered = F.sort_array(F.transform(found, lambda s: F.struct(s["value"].alias("value"), s["end"].alias("end"))))
 
     def masked(x: Column) -> Column:
         ends = F.transform(x["spans"], lambda s: s["end"])
@@ -154,7 +155,7 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
         return F.concat(F.array_join(F.zip_with(x["spans"], running(ends, F.greatest), part), ""), between(x["pieces"], F.array_max(ends), F.length(text)))
 
     clean = let(F.struct(ordered.alias("spans"), pieces_of(text).alias("pieces")), masked)
-    hit = F.size("__found") > 0
+    hit = F.size(found) > 0
     rows = rows.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))

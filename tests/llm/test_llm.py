@@ -4,6 +4,7 @@ import collections
 import contextlib
 import hashlib
 import html
+import os
 import random
 import re
 import time
@@ -19,6 +20,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from relayspark.llm import (
     chat_format,
+    common,
     components,
     decontaminate,
     html_extract,
@@ -812,3 +814,20 @@ def test_long_turns_fold_in_linear_time(spark):
         back = {r.conv_id: r for r in chat_format.read_back(chat_format.render(chat_format.reconstruct(spark.createDataFrame(rows, EVENTS)))).collect()}
     assert [m.text for m in back[1].messages] == back[1].scored == [f"text {s} text {s + 1} " for s in range(0, 60_000, 2)]
     assert back[2].scored == ["".join(f"{s} " for s in range(50_000, 60_000))]
+
+
+def test_very_long_texts_are_judged_in_linear_time(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    docs = frame(spark, [(1, long + "."), (2, "a b c d e f. " * 40_000), (3, ("x" * 300_000 + " ") * 3), (4, "line, of words.\n" * 60_000)])
+    with timed(60):
+        got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert (got[1].n_words, got[1].n_repeat_words, got[1].kept) == (200_000, 0, True)
+    assert got[2].n_repeat_words == 240_000 and got[4].n_dup_lines == 59_999 and got[3].n_words == 3
+
+
+def test_intermediate_tables_are_removed(spark):
+    made = common.written(spark.range(3), "kept")
+    paths = list(common._MADE[spark.sparkContext.applicationId])
+    assert made.count() == 3 and any(os.path.exists(p) for p in paths)
+    common.clean(spark)
+    assert not any(os.path.exists(p) for p in paths)

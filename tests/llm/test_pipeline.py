@@ -5,7 +5,8 @@ import re
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_llm import SF_DIR, brute_components, brute_hits, table
+from pyspark.sql import functions as F
+from tests.llm.test_llm import ODD, SF_DIR, UNLEARNED, brute_components, brute_hits, frame, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -60,3 +61,39 @@ def test_packing_covers_what_is_left(stages):
 
 def test_run_is_the_stages_in_order(spark, stages):
     assert corpus_pipeline.run(spark, SF_DIR).count() == len(stages[5])
+
+
+CLASHES = ("__key", "__doc", "__row", "__same", "__places", "__new", "__found", "__base", "found", "w", "node", "class", "lang_pred_", "ids", "start")
+
+
+def test_stages_take_odd_rows_and_extra_columns(spark):
+    """Nulls, empty and long texts, ties, repeated rows and names that the operators use."""
+    real = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = [(None if i is None else 10_000 + i, t) for i, t in ODD] + [(20_000, real.where("length(text) > 500 and lang = 'en'").first().text)] * 3
+    rows += [(30_000 + i, t) for i, t in enumerate(UNLEARNED.values())]
+    docs = real.unionByName(frame(spark, rows).withColumn("lang", F.lit(None).cast("string")))
+    for name in CLASHES:
+        docs = docs.withColumn(name, F.lit(f"clash {name}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, corpus_pipeline.written(stage(spark, docs, SF_DIR), "odd")
+        assert docs.columns == before.columns and 0 < docs.count() <= before.count()
+        assert all(docs.where(F.col(c) != f"clash {c}").isEmpty() for c in CLASHES)
+        if name == "language ID":
+            ids = [r.doc_id for r in docs.collect()]
+            assert not {10_001, 10_002, 10_003, 10_005} & set(ids) and not any((i or 0) >= 30_000 for i in ids)
+            assert ids.count(20_000) == 3
+        else:
+            assert docs.where("doc_id = 20000").count() <= 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() >= docs.count()
+
+
+def test_stages_take_empty_tables(spark):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame(spark, []), SF_DIR).count() == 0
+
+
+def test_stages_keep_null_and_empty_texts(spark):
+    docs = frame(spark, [(1, None), (2, ""), (3, " "), (None, None)])
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        assert sorted((r.doc_id or 0, r.text or "") for r in stage(spark, docs, SF_DIR).collect()) == [(0, ""), (1, ""), (2, ""), (3, " ")]
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SF_DIR).count() == 4
