@@ -19,13 +19,20 @@ WINDOW = 10
 STRIDE = 5
 #: Fixed value: what a word is not made of.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same, of texts that are not lower-cased.
+NEITHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD_OR_UPPER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
     """Lower-cased words; none for null."""
     split = F.split(ascii_lower(text), NOT_WORD)
-    return F.coalesce(F.filter(split, lambda w: w != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(split, ""), F.array().cast("array<string>"))
+
+
+def _hash_of(words: Column, start: Column, length: int) -> Column:
+    """The hash of ``length`` words from ``start`` (from 1), as of their array, without making that array."""
+    return F.xxhash64(*[F.get(words, start + (k - 1)) for k in range(length)])
 
 
 def _windows(items: DataFrame, window: int) -> DataFrame:
@@ -58,7 +65,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, stride: int =
     def scan(length: int, step: int) -> Column:
         """Hashes of the ``length`` words at each multiple of ``step``."""
         starts = F.sequence(F.lit(1), F.size("w") - (length - 1), F.lit(step))
-        return F.when(F.size("w") >= length, F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, length)))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size("w") >= length, F.transform(starts, lambda i: _hash_of(F.col("w"), i, length))).otherwise(F.array().cast("array<bigint>"))
 
     scans = [scan(gram, stride)] if window in lengths else []
     scans += [scan(n, 1) for n in lengths if n < window]
@@ -113,7 +120,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """
     found = hits(docs, items, window).withColumnsRenamed({"doc_id": "d", "same": "s"})
     text = F.col("text").cast("string")
-    rows = docs.select("doc_id", F.size(words_of(text)).cast("long").alias("n_words"), F.md5(text.cast("binary")).alias("same"))
+    number = F.coalesce(F.size(F.array_remove(F.split(text, NEITHER), "")), F.lit(0))
+    rows = docs.select("doc_id", number.cast("long").alias("n_words"), F.md5(text.cast("binary")).alias("same"))
     out = rows.join(small_side(found, 4096), F.expr("doc_id <=> d and same = s"), "left")
     return out.select(
         "doc_id",
