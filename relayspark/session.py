@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,13 @@ def session(app: str = "relayspark", **conf: str) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``, else one of this machine)."""
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``). Where that is unset, one of this
+    machine if all runs on it; on a cluster that is an error."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="relayspark-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/relayspark/{label}-{uuid.uuid4().hex}"
