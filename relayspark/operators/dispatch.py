@@ -75,6 +75,11 @@ class Handlers:
 
         return put
 
+    def ignore(self, *msg_types: str) -> None:
+        """Take messages of these types and do nothing with them: they are no rejects."""
+        for name in msg_types:
+            self.on(name)(lambda messages: messages.where("false"))
+
     def run(self, messages: DataFrame, channel: str = "router", index: int = 1) -> dict[str, DataFrame]:
         """The result of each handler, and ``rejects``."""
         routed = dispatch(messages, sorted(self.known), channel, index)
@@ -82,6 +87,19 @@ class Handlers:
         return results | {"rejects": rejects(routed)}
 
 
+def exchange(messages: DataFrame, identity: str = "recipient") -> DataFrame:
+    """Messages dealt out by the identity they are addressed to, so that all of one recipient meet in one task. A
+    recipient of a large part of all messages makes one large task; aggregate before, where that will do."""
+    return messages.repartition(identity)
+
+
+def status(messages: DataFrame) -> DataFrame:
+    """(sender, line) of status and error messages: what their handlers print."""
+    last = F.decode(F.element_at("frames", -1), "UTF-8")
+    said = F.concat(F.lit("Received message from "), F.decode(F.get("frames", F.lit(0)), "UTF-8"), F.lit(", with error: "), last, F.lit("!"))
+    return messages.where(F.size("frames") > 0).select("sender", said.alias("line"))
+
+
 def strict(dispatched: DataFrame) -> DataFrame:
     """The same rows; a message that its channel would raise for fails the query with its problem."""
     checked = F.when(F.col("handler") == "raise", F.raise_error(F.col("problem")).cast("string")).otherwise(F.col("handler"))

@@ -406,6 +406,23 @@ def replies_to_senders(spark, sf_dir):
     return dispatch.reply(asked, results["click"].unionByName(results["purchase"]))
 
 
+@query("""SELECT count(*) AS nodes FROM (
+    SELECT 'p' || l_partkey AS node FROM lineitem UNION SELECT 's' || l_suppkey FROM lineitem
+    UNION SELECT 'p' || p_partkey FROM part UNION SELECT 's' || s_suppkey FROM supplier)""")
+def graph_vertex_count(spark, sf_dir):
+    """Parts and suppliers that no line joins count, too."""
+    parts = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
+    suppliers = tables.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    return graph.node_count(tables.graph_edges(spark, sf_dir), parts.union(suppliers))
+
+
+@query(f"""WITH {_BEATS} SELECT b.worker AS sender, 'Received message from ' || b.worker || ', with error: ' || e.props || '!' AS line
+    FROM beats b JOIN events e ON b.event_id = e.event_id WHERE e.event_type = 'error'""")
+def error_lines(spark, sf_dir):
+    messages = tables.messages(spark, sf_dir)
+    return dispatch.status(messages.where(F.decode(F.get("frames", F.lit(1)), "UTF-8") == "error"))
+
+
 #: Per channel: whether types are lower-cased; the handler of empty, reserved and unknown types.
 _CHANNELS = ", ".join(
     f"('{name}', {str(rule['lower']).upper()}, '{rule['empty']}', '{rule['reserved']}', '{rule['unknown']}')" for name, rule in dispatch.CHANNELS.items()

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from relayspark.operators import liveness, registry
 from relayspark.session import ROCKSDB, shared_path
@@ -89,6 +89,28 @@ def sweep(spark: SparkSession, path: str, timeout: float, every: float, clock: C
     return ticks.writeStream.foreachBatch(once).trigger(processingTime=f"{max(1, int(1000 * every))} milliseconds").start()
 
 
+class SendHook(StreamingQueryListener):
+    """Calls ``log`` with (name or id of the query, number of the micro-batch, rows in) after each one that had rows. Add
+    it by ``spark.streams.addListener``."""
+
+    def __init__(self, log: Callable[[tuple[str, int, int]], None]):
+        self.log = log
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        made = event.progress
+        if made.numInputRows:
+            self.log((made.name or str(made.id), made.batchId, made.numInputRows))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 def request_stream(spark: SparkSession, sf_dir: str, per_batch: int = 1) -> DataFrame:
     """The events table as a stream of messages (event_id, user_id, sender, frames)."""
     raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", per_batch).parquet(f"{sf_dir}/events.parque[t]")

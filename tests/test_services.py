@@ -155,3 +155,35 @@ def test_settings_come_from_the_environment(monkeypatch):
         monkeypatch.setenv(name, value)
     made = Settings()
     assert (made.tick, made.frontend_port, made.backend_port, made.heartbeat_port, made.service) == (15.0, 1, 2, 3, "DEMO")
+
+
+def test_ignored_types_are_no_rejects(spark):
+    frame = lambda kind: ([bytearray(b"s"), bytearray(kind)],)
+    messages = spark.createDataFrame([frame(b"heartbeat"), frame(b"nope")], "frames array<binary>")
+    handlers = dispatch.Handlers()
+    handlers.ignore("heartbeat", "send_heartbeat")
+    got = handlers.run(messages)
+    assert got["heartbeat"].count() == 0 and [r.msg_type for r in got["rejects"].collect()] == ["nope"]
+
+
+def test_messages_of_a_recipient_meet(spark):
+    rows = spark.range(200).select(F.concat(F.lit("w"), F.col("id") % 7).alias("recipient"))
+    seen = dispatch.exchange(rows).select("recipient", F.spark_partition_id().alias("p")).distinct().groupBy("recipient").count().collect()
+    assert len(seen) == 7 and all(r["count"] == 1 for r in seen)
+
+
+def test_a_hook_hears_of_each_batch(spark, tmp_path):
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    _events(folder / "part-0.parquet", 0, 10)
+    heard = []
+    hook = keyed.SendHook(heard.append)
+    spark.streams.addListener(hook)
+    try:
+        keyed.run_to_end(keyed.request_stream(spark, str(tmp_path)).select("event_id"), "hooked")
+        end = time.monotonic() + 20
+        while not heard and time.monotonic() < end:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(hook)
+    assert [rows for _, _, rows in heard] == [10]
