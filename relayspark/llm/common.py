@@ -19,7 +19,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 32 << 20
 #: Rows and bytes of one Arrow batch sent to Python, so that a batch of long texts stays small.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 

@@ -32,6 +32,8 @@ MARK = "<|"
 #: Pieces that one generation of a worker's cache may hold (about 60 MB), and the longest piece that is kept.
 CACHE_PIECES = 250_000
 CACHE_BYTES = 64
+#: Bytes of text that are cut at once; a longer text is cut on its own.
+CHUNK_BYTES = 1 << 21
 #: Pieces that go to the library at once.
 ASK_PIECES = 200
 
@@ -183,13 +185,23 @@ class PieceEncoder:
         bounds = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
         if bounds[-1] == bounds[0]:
             return np.zeros(0, dtype="<u4"), np.zeros(len(column), dtype=np.int64)
-        data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]]
-        bounds = bounds - bounds[0]
+        data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
+        made, at = [], 0
+        while at < len(column):
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK_BYTES, side="right")) - 1)
+            made.append(self._encode(data[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at]))
+            at = end
+        return np.concatenate([ids for ids, _ in made]), np.concatenate([counts for _, counts in made])
+
+    def _encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_column``, of texts that lie back to back in ``data`` with these ``bounds``."""
+        if not len(data):
+            return np.zeros(0, dtype="<u4"), np.zeros(len(bounds) - 1, dtype=np.int64)
         starts, kind, data = self._pieces(data, bounds)
         if self.cuts == "dropped":
             # White space goes; every piece that is left starts with something else.
             keep = kind != _SPACE
-            shift = np.concatenate([[0], np.cumsum(keep)])
+            shift = np.concatenate([np.zeros(1, dtype=np.int32), np.cumsum(keep, dtype=np.int32)])
             starts, bounds, data = shift[starts[keep[starts]]], shift[bounds], data[keep]
         edges = np.append(starts, len(data)).astype(np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])

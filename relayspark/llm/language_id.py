@@ -53,7 +53,7 @@ KNOWN_QUANTILE = 0.1
 #: So many of a text's n-grams need not be known.
 FORGIVEN = 4
 #: Characters of text whose n-grams are found at once; a longer text is read on its own.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 _BITS = 20
 
 _LETTER = re.compile(r"[^\W\d_]")
