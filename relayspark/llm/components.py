@@ -44,11 +44,13 @@ def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """Join each node's neighbours that are larger (or smaller) than it to the smallest node around it."""
     if larger:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b"), F.col("a")))
+        ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+        both = edges.select(F.inline(ways))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = _met(edges.select(F.col("a").alias("u"), F.col("b").alias("w")), least).select("m", "w")
+        # A row for each edge at most; repeated ones go with the smaller neighbours, whose rows are dealt out anyway.
+        return _met(edges.select(F.col("a").alias("u"), F.col("b").alias("w")), least).select(F.col("m").alias("a"), F.col("w").alias("b"))
     else:
         least = edges.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         moved = _met(edges.select(F.col("b").alias("u"), F.col("a").alias("w")), least)
-        joined = moved.select("m", "w").unionAll(moved.select("m", F.col("u").alias("w")))
+        joined = moved.select("m", F.explode(F.array("w", "u")).alias("w"))
     return joined.where("m <> w").select(F.least("m", "w").alias("a"), F.greatest("m", "w").alias("b")).distinct()
